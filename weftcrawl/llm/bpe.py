@@ -11,7 +11,6 @@ Nulls and empty texts have no ids and decode to no bytes. Repeated rows stay. Ot
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..plans.runtime import ship
+from .parts import SLICE, Recent, cut, no_gc, together
 
-#: Characters of text that are encoded together.
-TOGETHER = 8_000_000
+#: Parts of texts of which a worker remembers the ids: twice as many at most, with those of the last texts.
+REMEMBER = 150_000
 _BITS = 256
 
 
@@ -85,8 +85,7 @@ class Codec:
         self.keys = np.array(sorted(pairs) or [-9], np.int64)
         self.merged = np.array([pairs.get(k, -1) for k in self.keys.tolist()], np.int64)
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        #: Two white-space characters in a row: such a text is not cut at its spaces first.
-        self.runs = regex.compile(r"\s\s")
+        self.known = Recent(REMEMBER)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What each pair merges to, or -1; the id of a symbol that is gone is -1."""
@@ -141,43 +140,22 @@ class Codec:
             out[k] = flat[i:j]
         return out
 
-    def parts(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple[list[int], str]]]:
-        """Parts of each text, and for each different part its ids and the same in decimal; those of a text's parts in order are its ids.
-
-        A single space between other characters starts a pre-token under the patterns of this kind, so a text without two
-        white-space characters in a row is cut there; of any other text the pre-tokens are the parts."""
-        on = gc.isenabled()
-        gc.disable()  # hundreds of thousands of small objects, none of them in a cycle
-        try:
-            return self._parts(texts)
-        finally:
-            if on:
-                gc.enable()
-
-    def _parts(self, texts: list[str]) -> tuple[list[list[str]], dict[str, tuple[list[int], str]]]:
-        cut: list[list[str]] = []
-        different: dict[str, list[str] | None] = {}
-        for t in texts:
-            if self.runs.search(t):
-                parts = self.pattern.findall(t)
-            else:
-                first, *rest = t.split(" ")
-                parts = [first] if first else []
-                parts += map(" ".__add__, rest)
-            cut.append(parts)
-            different.update(dict.fromkeys(parts))
-        pieces = {p: self.pattern.findall(p) for p in different}
-        order = list(dict.fromkeys(chain.from_iterable(pieces.values())))
-        ids = dict(zip(order, self.merge([p.encode() for p in order]), strict=True))
-        joined = {p: list(chain.from_iterable(map(ids.__getitem__, x))) for p, x in pieces.items()}
-        return cut, {p: (x, " ".join(map(str, x))) for p, x in joined.items()}
+    def parts(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
+        """For each text, ids and the same in decimal of parts that in order make it up."""
+        with no_gc():
+            cuts = [cut(t) or self.pattern.findall(t) for t in texts]
+            known = self.known
+            new = known.missing(dict.fromkeys(chain.from_iterable(cuts)))
+            pieces = {p: self.pattern.findall(p) for p in new}
+            order = list(dict.fromkeys(chain.from_iterable(pieces.values())))
+            ids = dict(zip(order, self.merge([p.encode() for p in order]), strict=True))
+            for p, x in pieces.items():
+                y = ids[x[0]] if len(x) == 1 else [i for piece in x for i in ids[piece]]
+                known[p] = y, " ".join(map(str, y))
+            return [list(map(known.__getitem__, x)) for x in cuts]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        out = []
-        for _, run in together(texts):
-            cut, known = self.parts(run)
-            out += [[i for p in parts for i in known[p][0]] for parts in cut]
-        return out
+        return [[i for ids, _ in parts for i in ids] for run in together(texts) for parts in self.parts(run)]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -190,20 +168,6 @@ def codec(path: str, pattern: str) -> Codec:
         return Codec({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}, pattern)
 
 
-def together(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) in runs of TOGETHER characters or one text; null counts as empty."""
-    run: list[str] = []
-    size = 0
-    for k, t in enumerate(texts):
-        if run and size + len(t or "") > TOGETHER:
-            yield k - len(run), run
-            run, size = [], 0
-        run.append(t or "")
-        size += len(t or "")
-    if run:
-        yield len(texts) - len(run), run
-
-
 def _added(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
     """df with one more column, which takes the place of one of that name."""
     schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
@@ -235,12 +199,11 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
         c, sha = codec(path, pattern), hashlib.sha256
         for b in batches:
             rows: list[tuple[int, str, str]] = []
-            for _, run in together(b.column(1).to_pylist()):
-                cut, known = c.parts(run)
-                for parts in cut:
-                    got = list(map(known.__getitem__, parts))
-                    ids = list(chain.from_iterable([x[0] for x in got]))
-                    rows.append((len(ids), sha(" ".join([x[1] for x in got]).encode()).hexdigest(), sha(c.decode(ids)).hexdigest()))
+            for k in range(0, b.num_rows, SLICE):
+                for run in together(b.column(1).slice(k, SLICE).to_pylist()):
+                    for got in c.parts(run):
+                        ids = list(chain.from_iterable([x[0] for x in got]))
+                        rows.append((len(ids), sha(" ".join([x[1] for x in got]).encode()).hexdigest(), sha(c.decode(ids)).hexdigest()))
             n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
-from . import bpe, tokenfile
-from .common import read
+from . import bpe, suffix_tree, tokenfile
+from .common import doc_remainder, read
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +23,15 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_back(manifest, dictionary)
 
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", doc_remainder(7) == 2)
+    return suffix_tree.score(docs, docs.filter(~F.col("held_out")), Scratch(spark, "op10"), carry=["held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op9_token_files": op9_token_files,
+    "op10_suffix_tree": op10_suffix_tree,
 }
 
 #: DuckDB SQL for the queries that it can express.

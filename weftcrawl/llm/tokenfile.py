@@ -10,7 +10,6 @@ Texts that are null or empty give the end id alone. Rows with equal doc_ids stay
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import os
 import struct
@@ -18,10 +17,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,15 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import Scratch, ship
-from .bpe import together
+from .parts import SLICE, Recent, cut, no_gc, together
 from .store import create, open_file
 
 MAGIC = b"WTOKENS1"
 #: Documents that the dictionary is trained on, characters of each, and bytes of the dictionary.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 4000, 64 << 10
 LEVEL = 3
+#: Parts of texts of which a worker remembers the ids: twice as many at most.
+REMEMBER = 300_000
 _TAIL = struct.Struct("<QQ8s")
-_RUNS = regex.compile(r"\s\s")
 
 
 @lru_cache(2)
@@ -50,40 +50,46 @@ def _tokenizer(path: str):
     return t
 
 
-def encode(path: str, texts: list[str | None], end: int | None) -> list[bytes]:
-    """Each text's ids in their serial form, then end.
+_KNOWN: dict[str, Recent] = {}
+
+
+def _serial(tokenizer, texts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
 
-    The library encodes each different part of the texts once. A part ends before a single space between other characters,
-    where this kind of tokenizer always cuts; texts with two white-space characters in a row go to the library whole."""
+def _learn(tokenizer, known: Recent, parts: list[str]) -> None:
+    """Sets the parts' ids. Words are encoded in one call with newlines between, whose id marks where a word ends; a stop or
+    comma after letters is a pre-token of its own, so the ids of the word before it are used again."""
+    stops = {s: x for s, x in zip(".,", _serial(tokenizer, [".", ","]), strict=True)}
+    stemmed = [p for p in parts if p[-1] in stops and p[1:-1].isalpha() and (p[0] == " " or p[0].isalpha())]
+    new = [p for p in dict.fromkeys([*(p for p in parts if p[-1] not in stops), *(p[:-1] for p in stemmed)]) if p not in known]
+    (line,) = tokenizer.encode_batch_fast(["\n"], add_special_tokens=False)[0].ids[:1]
+    plain = [p for p in new if not p[-1].isspace() and (p[0] == " " or not p[0].isspace())]
+    for k in range(0, len(plain), 5000):
+        some = plain[k : k + 5000]
+        ids = np.array(tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == line)
+        if len(ends) == len(some) - 1:
+            flat = ids.tobytes()
+            known.update(zip(some, (flat[i:j] for i, j in zip([0, *((ends + 1) * 4).tolist()], [*(ends * 4).tolist(), len(flat)], strict=True)), strict=True))
+    known.update((p, known[p[:-1]] + stops[p[-1]]) for p in stemmed if p[:-1] in known)
+    rest = [p for p in parts if p not in known]
+    known.update(zip(rest, _serial(tokenizer, rest), strict=True))
+
+
+def encode(path: str, texts: list[str | None], end: int | None) -> list[bytes]:
+    """Each text's ids in their serial form, then end. The library encodes each different part of the texts once, and texts
+    that can't be cut as a whole."""
     tokenizer = _tokenizer(path)
     tail = b"" if end is None else struct.pack("<I", end)
+    known = _KNOWN.setdefault(path, Recent(REMEMBER))
     out: list[bytes] = []
-    on = gc.isenabled()
-    gc.disable()
-    try:
-        for _, run in together(texts):
-            cut: list[list[str]] = []
-            known: dict[str, bytes] = {}
-            for t in run:
-                if _RUNS.search(t):
-                    parts = [t]
-                else:
-                    first, *rest = t.split(" ")
-                    parts = [first] if first else []
-                    parts += map(" ".__add__, rest)
-                cut.append(parts)
-                known.update(dict.fromkeys(parts))
-            different = list(known)
-            for k in range(0, len(different), 20_000):
-                some = different[k : k + 20_000]
-                ids = [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-                ends = np.cumsum([len(x) for x in ids]) * 4
-                flat = np.fromiter((i for x in ids for i in x), "<u4", int(ends[-1]) // 4).tobytes()
-                known.update(zip(some, (flat[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
-            out += [b"".join(map(known.__getitem__, parts)) + tail for parts in cut]
-    finally:
-        if on:
-            gc.enable()
+    with no_gc():
+        for run in together(texts):
+            cuts = [cut(t) for t in run]
+            _learn(tokenizer, known, known.missing(dict.fromkeys(chain.from_iterable(x for x in cuts if x))))
+            whole = iter(_serial(tokenizer, [t for t, x in zip(run, cuts, strict=True) if x is None]))
+            out += [(next(whole) if x is None else b"".join(map(known.__getitem__, x))) + tail for x in cuts]
     return out
 
 
@@ -175,11 +181,10 @@ def write(df: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out = TaskContext.get().partitionId(), None
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            if out is None and ids:
-                out = Writer(f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.wtok", dictionary)
-            for first, some in together(texts):
-                for i, x in zip(ids[first:], encode(tokenizer, some, end), strict=False):
+            for k in range(0, b.num_rows, SLICE):
+                if out is None:
+                    out = Writer(f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.wtok", dictionary)
+                for i, x in zip(b.column(0).slice(k, SLICE).to_pylist(), encode(tokenizer, b.column(1).slice(k, SLICE).to_pylist(), end), strict=True):
                     out.add(i, x)
         if out is not None:
             out.close()
