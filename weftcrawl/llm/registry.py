@@ -9,14 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
-from . import bpe, suffix_tree, tokenfile
+from . import bpe, byte_cnn, suffix_tree, tokenfile, warc
 from .common import doc_remainder, read
 
 
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", doc_remainder(4) == 2)
+    net = byte_cnn.fit(*byte_cnn.sample(docs, ~F.col("held_out"), "text", "lang", "doc_id"))
+    return byte_cnn.predict(docs, net, ["doc_id", "held_out"])
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op7")
+    return warc.read_back(warc.write(warc.deduplicated(read(spark, sf_dir, "pages")), scratch.path("archives"), scratch))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op9")
     manifest, dictionary = tokenfile.write(read(spark, sf_dir, "documents"), scratch.path("files"), scratch, public_tokenizers.path("byte_bpe_50k.json"))
@@ -29,10 +40,22 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_cnn": op3_byte_cnn,
     "op4_bpe": op4_bpe,
+    "op7_warc": op7_warc,
     "op9_token_files": op9_token_files,
     "op10_suffix_tree": op10_suffix_tree,
 }
 
 #: DuckDB SQL for the queries that it can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op7_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS largest FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM q
+""",
+}

@@ -17,7 +17,7 @@ def create(uri: str):
     """A stream for a new file. Writers give each attempt its own name; only names in a committed manifest count."""
     store, path = at(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_file(uri: str):
