@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
-from . import bpe, byte_cnn, suffix_tree, tokenfile, warc
+from . import bpe, byte_cnn, quality, suffix_tree, tokenfile, warc
 from .common import doc_remainder, read
 
 
@@ -28,6 +28,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.write(warc.deduplicated(read(spark, sf_dir, "pages")), scratch.path("archives"), scratch))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.cascade(read(spark, sf_dir, "documents"), quality.rules(), Scratch(spark, "op8")).drop("text")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op9")
     manifest, dictionary = tokenfile.write(read(spark, sf_dir, "documents"), scratch.path("files"), scratch, public_tokenizers.path("byte_bpe_50k.json"))
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_cnn": op3_byte_cnn,
     "op4_bpe": op4_bpe,
     "op7_warc": op7_warc,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_suffix_tree": op10_suffix_tree,
 }
@@ -57,5 +62,23 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
   CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> largest THEN largest END AS refers_to
 FROM q
+""",
+    "op8_quality": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+u AS (SELECT doc_id, unnest(range(len(ws) - 2)) AS i, ws FROM w WHERE len(ws) > 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i + 1], ws[i + 2], ws[i + 3]) AS n FROM u),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, len(string_split(t, chr(10))) AS n_lines FROM d),
+c AS (SELECT w.doc_id, t, n_lines, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS capitals,
+  len(regexp_extract_all(t, '(\.\.\.|…)[\x20\t\r]*(\n|$)')) AS ellipses
+  FROM w JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+    OR 10 * letters < 6 * word_chars OR 2 * capitals > letters OR 10 * ellipses > 3 * n_lines) AS kept
+FROM b
 """,
 }
