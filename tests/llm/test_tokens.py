@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -32,9 +33,25 @@ def test_codec_equals_library():
     codec = bpe.codec(RANKS, P.PATTERN)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = codec.encode(texts())
-    assert got == [library.encode_ordinary(t or "") for t in texts()]
-    assert [codec.decode(x) for x in got] == [(t or "").encode() for t in texts()]
+    want = [library.encode_ordinary(t or "") for t in texts()]
+    assert codec.whole([t or "" for t in texts()]) == want
+    for _ in range(2):  # the second time from what is remembered
+        ((_, ids, cut),) = codec.encode(pa.array(texts()))
+        assert [ids[i:j].tolist() for i, j in zip(cut, cut[1:], strict=False)] == want
+    data, ends = codec.decode(ids, cut)
+    assert [data[i:j] for i, j in zip(ends, ends[1:], strict=False)] == [(t or "").encode() for t in texts()]
+
+
+def test_parts_equal_whole_texts():
+    rng = random.Random(5)
+    codec = bpe.codec(RANKS, P.PATTERN)
+    signs = " \n\ta.\u00a0\u2003\u0085,'sé\u3000b"
+    some = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 7))) for _ in range(3000)]
+    ((_, ids, cut),) = codec.encode(pa.array(some))
+    assert [ids[i:j].tolist() for i, j in zip(cut, cut[1:], strict=False)] == codec.whole(some)
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(some, add_special_tokens=False)]
+    assert list(tokenfile.encode(P.path("byte_bpe_50k.json"), pa.array(some), None)) == want
 
 
 def test_bpe_columns(rows):
@@ -47,7 +64,7 @@ def test_bpe_columns(rows):
 
 def test_bpe_digests(rows):
     codec = bpe.codec(RANKS, P.PATTERN)
-    want = {(None if not i else i - 1): (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in enumerate(codec.encode(texts()))}
+    want = {(None if not i else i - 1): (len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in enumerate(codec.whole([t or "" for t in texts()]))}
     got = bpe.digests(rows, RANKS, P.PATTERN).collect()
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in got} == want
     assert len(got) == len(texts())

@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..plans.runtime import ship
-from .parts import SLICE, Recent, cut, no_gc, together
+from .common import chunks
+from .parts import PartCoder, ragged, spell
 
-#: Parts of texts of which a worker remembers the ids: twice as many at most, with those of the last texts.
-REMEMBER = 150_000
 _BITS = 256
 
 
@@ -73,9 +72,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.size = size = max(ranks.values(), default=0) + 1
-        self.bytes = [b""] * size
+        tokens = [b""] * size
         for token, rank in ranks.items():
-            self.bytes[rank] = token
+            tokens[rank] = token
+        self.bytes, self.decimal = ragged(tokens), ragged([b" %d" % i for i in range(size)])
         pairs = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -85,7 +85,7 @@ class Codec:
         self.keys = np.array(sorted(pairs) or [-9], np.int64)
         self.merged = np.array([pairs.get(k, -1) for k in self.keys.tolist()], np.int64)
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.known = Recent(REMEMBER)
+        self.parts = PartCoder(self.whole)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What each pair merges to, or -1; the id of a symbol that is gone is -1."""
@@ -140,25 +140,21 @@ class Codec:
             out[k] = flat[i:j]
         return out
 
-    def parts(self, texts: list[str]) -> list[list[tuple[list[int], str]]]:
-        """For each text, ids and the same in decimal of parts that in order make it up."""
-        with no_gc():
-            cuts = [cut(t) or self.pattern.findall(t) for t in texts]
-            known = self.known
-            new = known.missing(dict.fromkeys(chain.from_iterable(cuts)))
-            pieces = {p: self.pattern.findall(p) for p in new}
-            order = list(dict.fromkeys(chain.from_iterable(pieces.values())))
-            ids = dict(zip(order, self.merge([p.encode() for p in order]), strict=True))
-            for p, x in pieces.items():
-                y = ids[x[0]] if len(x) == 1 else [i for piece in x for i in ids[piece]]
-                known[p] = y, " ".join(map(str, y))
-            return [list(map(known.__getitem__, x)) for x in cuts]
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text, which is cut into pre-tokens by the pattern."""
+        pieces = [self.pattern.findall(t) for t in texts]
+        order = list(dict.fromkeys(chain.from_iterable(pieces)))
+        ids = dict(zip(order, self.merge([p.encode() for p in order]), strict=True))
+        return [ids[x[0]] if len(x) == 1 else [i for p in x for i in ids[p]] for x in pieces]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[i for ids, _ in parts for i in ids] for run in together(texts) for parts in self.parts(run)]
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids of the rows one after another, where each row's begin and the last ends) of runs of texts."""
+        for first, buf, offsets in chunks(texts):
+            yield first, *self.parts.chunk(buf, offsets)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray, cut: np.ndarray) -> tuple[bytes, list[int]]:
+        """The bytes of ids, and where those of each row begin and the last ends."""
+        return spell(self.bytes, ids, cut)
 
 
 @lru_cache(2)
@@ -183,29 +179,40 @@ def _added(df: DataFrame, name: str, kind: T.DataType, make) -> DataFrame:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the ids of each text."""
-    return _added(df, ids, T.ArrayType(T.IntegerType()), lambda b: pa.array(codec(path, pattern).encode(b.column(text).to_pylist()), pa.list_(pa.int32())))
+
+    def make(b: pa.RecordBatch) -> pa.Array:
+        found = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x.astype(np.int32))) for _, x, cut in codec(path, pattern).encode(b.column(text))]
+        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
+
+    return _added(df, ids, T.ArrayType(T.IntegerType()), make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the bytes of each list of ids; null is null."""
-    return _added(df, decoded, T.BinaryType(), lambda b: pa.array([None if x is None else codec(path, pattern).decode(x) for x in b.column(ids).to_pylist()], pa.binary()))
+
+    def make(b: pa.RecordBatch) -> pa.Array:
+        x = b.column(ids)
+        cut = np.append(0, np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        data, ends = codec(path, pattern).decode(x.flatten().to_numpy(zero_copy_only=False), cut)
+        return pa.array([None if null else data[i:j] for null, i, j in zip(x.is_null().to_pylist(), ends, ends[1:], strict=False)], pa.binary())
+
+    return _added(df, decoded, T.BinaryType(), make)
 
 
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes each text, decodes its ids and returns key, n_tokens, ids_sha256 and decoded_sha256 in one pass."""
     schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, sha = codec(path, pattern), hashlib.sha256
+    def digest(data: bytes, ends: list[int], skip: int) -> pa.Array:
+        view = memoryview(data)  # a decimal begins with a space; the first of a row is left out
+        return pa.array([hashlib.sha256(view[min(i + skip, j) : j]).hexdigest() for i, j in zip(ends, ends[1:], strict=False)], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
         for b in batches:
-            rows: list[tuple[int, str, str]] = []
-            for k in range(0, b.num_rows, SLICE):
-                for run in together(b.column(1).slice(k, SLICE).to_pylist()):
-                    for got in c.parts(run):
-                        ids = list(chain.from_iterable([x[0] for x in got]))
-                        rows.append((len(ids), sha(" ".join([x[1] for x in got]).encode()).hexdigest(), sha(c.decode(ids)).hexdigest()))
-            n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for first, ids, cut in c.encode(b.column(1)):
+                n = pa.array(np.diff(cut))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), n, digest(*spell(c.decimal, ids, cut), 1), digest(*c.decode(ids, cut), 0)], schema.names)
 
     ship(df.sparkSession)
-    return df.select(key, text).mapInArrow(scan, schema)
+    return df.select(key, text).mapInArrow(run, schema)

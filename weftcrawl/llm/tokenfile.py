@@ -17,7 +17,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import Scratch, ship
-from .parts import SLICE, Recent, cut, no_gc, together
+from .common import chunks
+from .parts import PartCoder
 from .store import create, open_file
 
 MAGIC = b"WTOKENS1"
 #: Documents that the dictionary is trained on, characters of each, and bytes of the dictionary.
 SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 4000, 64 << 10
 LEVEL = 3
-#: Parts of texts of which a worker remembers the ids: twice as many at most.
-REMEMBER = 300_000
 _TAIL = struct.Struct("<QQ8s")
 
 
@@ -50,47 +48,43 @@ def _tokenizer(path: str):
     return t
 
 
-_KNOWN: dict[str, Recent] = {}
+def _whole(tokenizer, texts: list[str]) -> list[list[int]]:
+    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _serial(tokenizer, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-def _learn(tokenizer, known: Recent, parts: list[str]) -> None:
-    """Sets the parts' ids. Words are encoded in one call with newlines between, whose id marks where a word ends; a stop or
-    comma after letters is a pre-token of its own, so the ids of the word before it are used again."""
-    stops = {s: x for s, x in zip(".,", _serial(tokenizer, [".", ","]), strict=True)}
-    stemmed = [p for p in parts if p[-1] in stops and p[1:-1].isalpha() and (p[0] == " " or p[0].isalpha())]
-    new = [p for p in dict.fromkeys([*(p for p in parts if p[-1] not in stops), *(p[:-1] for p in stemmed)]) if p not in known]
-    (line,) = tokenizer.encode_batch_fast(["\n"], add_special_tokens=False)[0].ids[:1]
-    plain = [p for p in new if not p[-1].isspace() and (p[0] == " " or not p[0].isspace())]
-    for k in range(0, len(plain), 5000):
-        some = plain[k : k + 5000]
-        ids = np.array(tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == line)
-        if len(ends) == len(some) - 1:
-            flat = ids.tobytes()
-            known.update(zip(some, (flat[i:j] for i, j in zip([0, *((ends + 1) * 4).tolist()], [*(ends * 4).tolist(), len(flat)], strict=True)), strict=True))
-    known.update((p, known[p[:-1]] + stops[p[-1]]) for p in stemmed if p[:-1] in known)
-    rest = [p for p in parts if p not in known]
-    known.update(zip(rest, _serial(tokenizer, rest), strict=True))
-
-
-def encode(path: str, texts: list[str | None], end: int | None) -> list[bytes]:
-    """Each text's ids in their serial form, then end. The library encodes each different part of the texts once, and texts
-    that can't be cut as a whole."""
+@lru_cache(2)
+def _coder(path: str) -> PartCoder:
+    """Of the library's tokenizer. Words are encoded in one call with newlines between, whose id marks where a word ends."""
     tokenizer = _tokenizer(path)
+    line = _whole(tokenizer, ["\n"])[0]
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for k in range(0, len(texts), 5000):
+            some = texts[k : k + 5000]
+            # not what begins or ends with white space or has newlines, but for one space in front
+            joins = len(line) == 1 and all(t[1:].isprintable() and (t[0] == " " or t[0].isprintable()) and t[-1] != " " and "  " not in t for t in some)
+            if joins:
+                ids = np.array(_whole(tokenizer, ["\n".join(some)])[0])
+                ends = np.flatnonzero(ids == line[0])
+                if len(ends) == len(some) - 1:
+                    flat = ids.tolist()
+                    out += [flat[i:j] for i, j in zip([0, *(ends + 1).tolist()], [*ends.tolist(), len(flat)], strict=True)]
+                    continue
+            out += _whole(tokenizer, some)
+        return out
+
+    return PartCoder(encode)
+
+
+def encode(path: str, texts: pa.Array, end: int | None) -> Iterator[bytes]:
+    """Each text's ids in their serial form, then end. The library encodes each different part of the texts once."""
     tail = b"" if end is None else struct.pack("<I", end)
-    known = _KNOWN.setdefault(path, Recent(REMEMBER))
-    out: list[bytes] = []
-    with no_gc():
-        for run in together(texts):
-            cuts = [cut(t) for t in run]
-            _learn(tokenizer, known, known.missing(dict.fromkeys(chain.from_iterable(x for x in cuts if x))))
-            whole = iter(_serial(tokenizer, [t for t, x in zip(run, cuts, strict=True) if x is None]))
-            out += [(next(whole) if x is None else b"".join(map(known.__getitem__, x))) + tail for x in cuts]
-    return out
+    for _, buf, offsets in chunks(texts):
+        ids, cut = _coder(path).chunk(buf, offsets)
+        data, cut = ids.astype("<u4").tobytes(), (cut * 4).tolist()
+        for i, j in zip(cut, cut[1:], strict=False):
+            yield data[i:j] + tail
 
 
 def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -173,7 +167,7 @@ def write(df: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end: int
     ship(spark)
     df = df.select(F.col(key).cast("long").alias(key), text)
     sample = [r[0] for r in df.select(F.substring(text, 1, SAMPLE_CHARS), F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(SAMPLE).collect()]
-    dictionary = train(encode(tokenizer, sample, end))
+    dictionary = train(list(encode(tokenizer, pa.array(sample, pa.string()), end)))
     name = hashlib.sha256(dictionary).hexdigest()
     with create(f"{folder}/dictionary-{name}.zdict") as f:
         f.write(dictionary)
@@ -181,11 +175,10 @@ def write(df: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out = TaskContext.get().partitionId(), None
         for b in batches:
-            for k in range(0, b.num_rows, SLICE):
-                if out is None:
-                    out = Writer(f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.wtok", dictionary)
-                for i, x in zip(b.column(0).slice(k, SLICE).to_pylist(), encode(tokenizer, b.column(1).slice(k, SLICE).to_pylist(), end), strict=True):
-                    out.add(i, x)
+            if out is None and b.num_rows:
+                out = Writer(f"{folder}/part-{part:05d}-{uuid.uuid4().hex}.wtok", dictionary)
+            for i, x in zip(b.column(0).to_pylist(), encode(tokenizer, b.column(1), end), strict=True):
+                out.add(i, x)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.uri]), pa.array([len(out.index[0])], pa.int64()), pa.array([out.tokens], pa.int64())], FILES.names)
