@@ -87,14 +87,19 @@ class Words(NamedTuple):
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each word's bytes."""
+        return self.prefixes()[0]
+
+    def prefixes(self, *sizes: int) -> list[np.ndarray]:
+        """hashes(), then those of each word's first bytes, of as many as each size says, or fewer where a word is shorter."""
         if not len(self.start):
-            return np.zeros(0, np.uint64)
+            return [np.zeros(0, np.uint64)] * (1 + len(sizes))
         with np.errstate(over="ignore"):
             sums = np.empty(len(self.low) + 1, np.uint64)
             sums[0] = 0
             np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * _powers(_R, len(self.low)), out=sums[1:])
-            h = (sums[self.end] - sums[self.start]) * _powers(_RINV, len(self.low) + 1)[self.start]
-            return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            scale, before = _powers(_RINV, len(self.low) + 1)[self.start], sums[self.start]
+            ends = [self.end, *(np.minimum(self.end, self.start + k) for k in sizes)]
+            return [mix((sums[e] - before) * scale + (e - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for e in ends]
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:

@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
-from . import bpe, byte_cnn, quality, suffix_tree, tokenfile, warc
+from . import bpe, byte_cnn, decontaminate, quality, suffix_tree, tokenfile, toxicity, warc
 from .common import doc_remainder, read
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    texts, toxic = toxicity.sample(docs, read(spark, sf_dir, "labels"))
+    return toxicity.fit(texts, toxicity.grades(texts, toxic))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity_model(spark, sf_dir, docs), ["doc_id"])
+
+
 def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", doc_remainder(4) == 2)
     net = byte_cnn.fit(*byte_cnn.sample(docs, ~F.col("held_out"), "text", "lang", "doc_id"))
@@ -23,6 +33,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
     return warc.read_back(warc.write(warc.deduplicated(read(spark, sf_dir, "pages")), scratch.path("archives"), scratch))
@@ -44,8 +58,10 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_byte_cnn": op3_byte_cnn,
     "op4_bpe": op4_bpe,
+    "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
