@@ -14,8 +14,8 @@ from .common import doc_remainder, read
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
-    texts, toxic = toxicity.sample(docs, read(spark, sf_dir, "labels"))
-    return toxicity.fit(texts, toxicity.grades(texts, toxic))
+    texts, toxic, weight = toxicity.sample(docs, read(spark, sf_dir, "labels"))
+    return toxicity.fit(texts, toxicity.grades(texts, toxic, weight), weight)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

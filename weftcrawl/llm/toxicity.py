@@ -25,9 +25,9 @@ from .common import chunks, words
 #: Labelled texts of each label that the model is fitted on, and its features at most.
 TEXTS, FEATURES = 3000, 4096
 PREFIXES = (4, 5, 6)
-#: A feature has to occur in so many sampled texts, and so much more often among one label's texts than the other's.
+#: A feature has to occur in so many sampled texts, with a label above 0, and so much more often there than elsewhere.
 LEAST, LIFT = 6, 8.0
-RIDGE, STEPS = 1e-3, 400
+RIDGE, STEPS = 2e-5, 500
 
 
 class Model(NamedTuple):
@@ -70,7 +70,7 @@ NONE = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
 
 
 def select(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Hashes of the features that tell labels 0 from the others best, by occurrences times the log of the lift."""
+    """Hashes of the features that speak most for labels above 0, by occurrences times the log of the lift."""
     seen: list[np.ndarray] = []
     sides: list[np.ndarray] = []
     for first, buf, offsets in chunks(pa.array(texts, pa.string())):
@@ -91,13 +91,13 @@ def select(texts: list[str], labels: np.ndarray) -> np.ndarray:
     down = np.bincount(inverse, weights=~side, minlength=len(keys))
     n_up, n_down = max(1, (labels > 0).sum()), max(1, (labels == 0).sum())
     lift = np.log((up + 0.5) / (n_up + 1)) - np.log((down + 0.5) / (n_down + 1))
-    worth = (up + down) * np.abs(lift) * (np.abs(lift) >= np.log(LIFT)) * (up + down >= LEAST)
+    worth = up * lift * (lift >= np.log(LIFT)) * (up >= LEAST)
     best = np.argsort(-worth, kind="stable")[:FEATURES]
     return np.sort(keys[best[worth[best] > 0]])
 
 
-def fit(texts: list[str], grades: np.ndarray) -> Model:
-    """Of grades 0, 1, ...; gradient descent with Adam on the mean negative log-likelihood, each grade with the same total weight."""
+def fit(texts: list[str], grades: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """Of grades 0, 1, ...; gradient descent with Adam on the mean negative log-likelihood. weight: rows that each text stands for."""
     grades = np.asarray(grades, np.int64)
     kinds = np.unique(grades)
     if len(kinds) < 2:
@@ -107,8 +107,8 @@ def fit(texts: list[str], grades: np.ndarray) -> Model:
     parts = [(first, model.found(buf, offsets)) for first, buf, offsets in chunks(pa.array(texts, pa.string()))]
     row, at = (np.concatenate([first * (k == 0) + x[k] for first, x in parts]) for k in (0, 1))
     n, m, levels = len(texts), len(model.features), len(kinds)
-    share = 1 / (levels * np.bincount(grades, minlength=levels))
-    weight = share[grades]
+    weight = np.ones(n) if weight is None else np.asarray(weight, float)
+    weight = weight / weight.sum()
     # thresholds as the first and the logs of the gaps, so that they stay in order
     p = np.concatenate([np.zeros(m), [0.0], np.zeros(levels - 2)])
     moment, square = np.zeros_like(p), np.zeros_like(p)
@@ -130,23 +130,23 @@ def fit(texts: list[str], grades: np.ndarray) -> Model:
     return Model(model.features, p[:m], np.append(p[m], p[m] + np.cumsum(np.exp(p[m + 1 :]))))
 
 
-def grades(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+def grades(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     """Grades for labels of two kinds: 0 where not toxic, else 1, or 2 where the features that speak for toxicity are more than
     in the median toxic text."""
     toxic = (np.asarray(toxic) > 0).astype(np.int64)
     if len(np.unique(toxic)) < 2:
         return toxic
-    first = fit(texts, toxic)
+    first = fit(texts, toxic, weight)
     hits = np.concatenate([np.bincount(row, weights=first.weights[at] > 0, minlength=len(offsets) - 1) for _, buf, offsets in chunks(pa.array(texts, pa.string())) for row, at in [first.found(buf, offsets)]])
     return np.where(toxic > 0, 1 + (hits > np.median(hits[toxic > 0])), 0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", texts: int = TEXTS) -> tuple[list[str], np.ndarray]:
-    """About `texts` labelled rows of each label, chosen by a hash of the key."""
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", texts: int = TEXTS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(text, label, rows it stands for) of about `texts` labelled rows of each label, chosen by a hash of the key."""
     labels = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
     counts = labels.groupBy("y").count().collect()
     if not counts:
-        return [], np.zeros(0, np.int64)
+        return [], np.zeros(0, np.int64), np.zeros(0)
     share = F.coalesce(*(F.when(F.col("y") == r["y"], F.lit(1_000_000.0 * texts / r["count"])) for r in counts), F.lit(0.0))
     h = F.pmod(F.xxhash64(key), F.lit(1_000_000))
     # at most 2 * texts ids of each label: small enough to be sent to all
@@ -154,7 +154,11 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text", label: str =
     rows = docs.select(key, F.col(text).alias("t")).filter(F.col("t").isNotNull()).join(F.broadcast(some), key).select("h", key, "t", "y").collect()
     rows.sort(key=lambda r: (r["h"], r[key], r["t"]))
     rows = rows[: 2 * texts * len(counts)]
-    return [r["t"] for r in rows], np.array([r["y"] for r in rows], np.int64)
+    y = np.array([r["y"] for r in rows], np.int64)
+    weight = np.ones(len(y))
+    for r in counts:
+        weight[y == r["y"]] = r["count"] / max(1, (y == r["y"]).sum())
+    return [r["t"] for r in rows], y, weight
 
 
 def score(df: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
