@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
-from . import bpe, byte_cnn, decontaminate, quality, suffix_tree, tokenfile, toxicity, warc
+from . import bpe, byte_cnn, decontaminate, partenum, quality, suffix_tree, tokenfile, toxicity, warc
 from .common import doc_remainder, read
 
 
@@ -33,6 +33,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.linked(read(spark, sf_dir, "documents"), partenum.Similarity(85, 100, 4), Scratch(spark, "op5"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_byte_cnn": op3_byte_cnn,
     "op4_bpe": op4_bpe,
+    "op5_partenum": op5_partenum,
     "op6_decontaminate": op6_decontaminate,
     "op7_warc": op7_warc,
     "op8_quality": op8_quality,
