@@ -37,6 +37,13 @@ def doc_remainder(m: int, column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
+def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """n rows by a hash of key, or all where they are fewer. About 2n rows leave the tasks, whatever the number of tasks."""
+    total = df.select(*key).count()
+    h = F.pmod(F.xxhash64(*key), F.lit(1 << 30))
+    return df.withColumn("__h", h).filter(F.col("__h") < F.lit(min(1.0, 2 * n / max(1, total)) * (1 << 30))).orderBy("__h", *key).limit(n).drop("__h")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     with np.errstate(over="ignore"):

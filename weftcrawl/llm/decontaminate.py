@@ -136,6 +136,25 @@ def matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     return out
 
 
+def clean(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of df that hold none of the items."""
+    spark = df.sparkSession
+    ship(spark)
+    at = df.columns.index(text)
+
+    def keep(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.find(t.as_py()) for t in b.column(at)], pa.bool_()))
+
+        return run
+
+    for block in _blocks(items.select(F.col(item_key).cast("long"), item_text).filter(F.col(item_text).isNotNull())):
+        df = df.mapInArrow(keep(spark.sparkContext.broadcast(block)), df.schema)
+    return df
+
+
 def _search(sent, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value)

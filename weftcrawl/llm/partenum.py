@@ -261,3 +261,10 @@ def _rounds(bucket: DataFrame, elements: DataFrame, s: Similarity, scratch: Scra
         if last:
             return known
         bucket = now.filter("sid <> top.sid").drop("top", "c")
+
+
+def one_of_each(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one document of each component, that with the smallest key. Rows without a key stay."""
+    groups = linked(df, s, scratch, key, text)
+    gone = scratch.keep(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= SENT else gone, key, "left_anti").select(*df.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
-from .common import GAP, WORD
+from .common import GAP, WORD, sampled
 
 #: Rows of the sample on which costs and selectivities are estimated.
 SAMPLE = 2000
@@ -87,9 +87,9 @@ def rules() -> list[Rule]:
     ]
 
 
-def ordered(sample: DataFrame, rules: list[Rule], scratch: Scratch, key: Column) -> list[Rule]:
-    """The rules by rejections per cost on a sample of at most SAMPLE rows, most first."""
-    some = scratch.keep(sample.orderBy(key).limit(SAMPLE), "sample")
+def ordered(sample: DataFrame, rules: list[Rule], scratch: Scratch) -> list[Rule]:
+    """The rules by rejections per cost on a sample with counts(), most first."""
+    some = scratch.keep(sample, "sample")
 
     def run(c: Column) -> tuple[float, int]:
         began = time.perf_counter()
@@ -119,5 +119,5 @@ def first_rejection(rules: list[Rule]) -> Column:
 def cascade(df: DataFrame, rules: list[Rule], scratch: Scratch, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """counts() with base_failed and kept; kept is the cascade's verdict on what has not failed the base rules."""
     carry = [key, *(c for c in carry or [] if c != key)]
-    order = ordered(counts(df.orderBy(F.xxhash64(key), key).limit(SAMPLE), text, carry), rules, scratch, F.col(key))
+    order = ordered(counts(sampled(df, SAMPLE, key), text, carry), rules, scratch)
     return counts(df, text, carry).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & first_rejection(order).isNull())

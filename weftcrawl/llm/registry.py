@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
-from . import bpe, byte_cnn, decontaminate, partenum, quality, suffix_tree, tokenfile, toxicity, warc
+from . import bpe, byte_cnn, decontaminate, partenum, quality, secrets, suffix_tree, tokenfile, toxicity, warc
 from .common import doc_remainder, read
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(read(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)), carry=["doc_id"])
+    return found.select("doc_id", "word_at", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("value_chars"), "score", "is_secret")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     texts, toxic, weight = toxicity.sample(docs, read(spark, sf_dir, "labels"))
     return toxicity.fit(texts, toxicity.grades(texts, toxic, weight), weight)
@@ -43,7 +48,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op7")
-    return warc.read_back(warc.write(warc.deduplicated(read(spark, sf_dir, "pages")), scratch.path("archives"), scratch))
+    return warc.read_back(warc.write(read(spark, sf_dir, "pages"), scratch.path("archives"), scratch))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +67,7 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
     "op3_byte_cnn": op3_byte_cnn,
     "op4_bpe": op4_bpe,

@@ -202,8 +202,7 @@ def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id"
                 hit = hashes[place] == different if len(hashes) else np.zeros(len(different), bool)
                 c = np.where(hit, ns[place] if len(ns) else 0, 0)
                 row, at = np.append(w.row, np.arange(rows)), np.append(at[:-1], np.full(rows, at[-1]))
-                # whether the end is known is settled here: it is the commonest of all or nothing is known
-                here = hit[at] | (np.arange(len(at)) >= len(w.row))
+                here = hit[at]
                 one = np.where(here, np.log10(c[at] + 1.0), 0.0) - np.log10(below)
                 rare = np.flatnonzero(~here)
                 cut = np.append(0, np.cumsum(np.bincount(row[rare], minlength=rows)))
@@ -211,7 +210,7 @@ def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id"
                     [b.column(i).slice(first, rows) for i in range(len(carry) + 1)]
                     + [
                         pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
-                        pa.array(np.bincount(row, weights=hit[at], minlength=rows).astype(np.int64)),
+                        pa.array(np.bincount(row, weights=here, minlength=rows).astype(np.int64)),
                         pa.array(np.bincount(row, weights=one, minlength=rows)),
                         pa.array(model.score(*symbols(w, rows, model.depth), rows)),
                         pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(different[at[rare]])),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import Scratch, ship
-from .common import chunks
+from .common import chunks, sampled
 from .parts import PartCoder
 from .store import create, open_file
 
@@ -166,7 +166,7 @@ def write(df: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end: int
     spark = df.sparkSession
     ship(spark)
     df = df.select(F.col(key).cast("long").alias(key), text)
-    sample = [r[0] for r in df.select(F.substring(text, 1, SAMPLE_CHARS), F.xxhash64(key).alias("h"), key).orderBy("h", key).limit(SAMPLE).collect()]
+    sample = [r[0] for r in sampled(df, SAMPLE, key).select(F.substring(text, 1, SAMPLE_CHARS)).collect()]
     dictionary = train(list(encode(tokenizer, pa.array(sample, pa.string()), end)))
     name = hashlib.sha256(dictionary).hexdigest()
     with create(f"{folder}/dictionary-{name}.zdict") as f:

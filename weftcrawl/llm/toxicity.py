@@ -166,16 +166,31 @@ def score(df: DataFrame, model: Model, carry: list[str], text: str = "text") ->
     spark = df.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    df = df.select(*carry, F.col(text).alias("__text"))
+    at = carry.index(text) if text in carry else len(carry)
+    df = df.select(*carry, *([] if text in carry else [text]))
     new = [T.StructField("expected_severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
-    schema = T.StructType([*(f for f in df.schema.fields[:-1]), *new])
+    schema = T.StructType([*df.schema.fields[: len(carry)], *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
             parts = [np.zeros(0)]
-            parts += [model.score(buf, offsets) for _, buf, offsets in chunks(b.column(len(carry)))]
+            parts += [model.score(buf, offsets) for _, buf, offsets in chunks(b.column(at))]
             severity, grade, toxic = model.severity(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(carry))] + [pa.array(severity), pa.array(grade, pa.int32()), pa.array(toxic >= 0.5)], schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def clean(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of df that are not toxic."""
+    ship(df.sparkSession)
+    sent, at = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for b in batches:
+            x = np.concatenate([np.zeros(0), *(model.score(buf, offsets) for _, buf, offsets in chunks(b.column(at)))])
+            yield b.filter(pa.array(model.severity(x)[2] < 0.5))
+
+    return df.mapInArrow(run, df.schema)

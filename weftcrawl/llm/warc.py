@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import Scratch, ship
+from .common import sampled
 from .parts import SLICE
 from .store import create, open_file
 from .tokenfile import train
@@ -121,16 +122,14 @@ FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("reco
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType())])
 
 
-def write(rows: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
-    """Archives the rows of deduplicated(), a file for each task. Returns the manifest (path, records) of committed attempts."""
-    ship(rows.sparkSession)
+def write(pages: DataFrame, folder: str, scratch: Scratch, least: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """Archives the pages, a file for each task. Returns the manifest (path, records) of committed attempts."""
+    ship(pages.sparkSession)
+    some = sampled(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.substring(payload, 1, SAMPLE_CHARS).alias("payload")), SAMPLE, "page_id").collect()
+    dictionary = train([record(r["page_id"], r["url"], (r["payload"] or "").encode(), "00" * 20, None) for r in some], DICTIONARY)
+    rows = deduplicated(pages, least, key, url, payload)
     base = rows.select("page_id", "url", F.encode("payload", "UTF-8").alias("payload"), "sha1", "refers_to")
-    return scratch.keep(base.mapInArrow(_archiver(folder, _trained(rows)), FILES), "manifest")
-
-
-def _trained(rows: DataFrame) -> bytes:
-    some = rows.select("page_id", "url", F.substring("payload", 1, SAMPLE_CHARS).alias("payload"), "sha1", F.xxhash64("page_id", "url").alias("h")).orderBy("h", "page_id", "url").limit(SAMPLE).collect()
-    return train([record(r["page_id"], r["url"], r["payload"].encode(), r["sha1"], None) for r in some], DICTIONARY)
+    return scratch.keep(base.mapInArrow(_archiver(folder, dictionary), FILES), "manifest")
 
 
 def _archiver(folder: str, dictionary: bytes):
