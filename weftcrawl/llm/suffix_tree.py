@@ -205,6 +205,7 @@ def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id"
                 here = hit[at]
                 one = np.where(here, np.log10(c[at] + 1.0), 0.0) - np.log10(below)
                 rare = np.flatnonzero(~here)
+                rare = rare[np.argsort(row[rare], kind="stable")]
                 cut = np.append(0, np.cumsum(np.bincount(row[rare], minlength=rows)))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(i).slice(first, rows) for i in range(len(carry) + 1)]
