@@ -8,10 +8,13 @@ elements in it make one signature. Similar sets share a signature. n1, n2 and k2
 LEAST elements on average.
 
 Equal sets are one node. Nodes that share a signature are a bucket. In each round a bucket's node with the most company is its
-pivot and is compared exactly with those of the bucket that are not known to be in its component; then it has been compared
-with all and leaves. Once the pairs that are left and cross components are at most TIMES the bucket rows, they are all
-compared. So every similar pair is either compared or within one component already, and the work is linear in the buckets in
-each round, whatever their size.
+pivot and is paired with those of the bucket that are not known to be in its component; then it has met all and leaves. Once
+the pairs that are left and cross components are at most TIMES the bucket rows, they are all made. So every similar pair is
+either made or within one component already, and the work is linear in the buckets in each round, whatever their size.
+
+A pair is compared exactly unless the parities of its sets' elements over BITS cells differ in more places than similar sets
+differ in elements (each element that only one set has flips one parity). Of the pairs that are left, those of each node with
+its busiest partner are compared first, and the others only where they still cross components.
 
 Null texts and texts without words have no set and are linked with nothing. Rows with equal keys count as one document.
 """
@@ -34,7 +37,9 @@ from ..plans.runtime import Scratch, ship
 from .common import chunks, mix, ngrams, words
 from .components import components
 
-LEAST, TIMES = 5, 4
+LEAST, TIMES, BITS = 5, 4, 512
+#: Sets over MANY elements have their parities over WIDE cells too.
+MANY, WIDE = 1000, 4096
 #: Candidates up to this number are sent to the executors to pick their texts; more are joined. Equal sets that a task remembers.
 SENT, SEEN = 500_000, 200_000
 
@@ -137,21 +142,42 @@ def signatures(row: np.ndarray, g: np.ndarray, n: np.ndarray, s: Similarity) ->
     return np.concatenate(rows_out), np.concatenate(sigs).astype(np.int64)
 
 
+def parities(row: np.ndarray, g: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """(rows, bits // 64) of int64: the parity of the number of elements in each cell."""
+    cell = (mix(g ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(row * bits + cell, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
+def _lists(x: np.ndarray, at: np.ndarray | None = None, rows: int = 0) -> pa.ListArray:
+    """The rows of x as lists; with at, those are the lists at these places of `rows` and the others are null."""
+    if at is None:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+    have = np.zeros(rows, bool)
+    have[at] = True
+    cut = np.append(0, np.cumsum(have)).astype(np.int32) * x.shape[1]
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(x.ravel()), mask=pa.array(~have))
+
+
 def _documents(df: DataFrame, key: str, text: str, s: Similarity) -> DataFrame:
-    """(key, n, sid): size and fingerprint of each document's set."""
+    """(key, n, sid, odd, wide): size, fingerprint and parities of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, buf, offsets in chunks(b.column(1)):
                 rows = len(offsets) - 1
-                n, sid = fingerprints(*sets(buf, offsets, s.n), rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(n), pa.array(sid, mask=n == 0)], [key, "n", "sid"])
+                row, g = sets(buf, offsets, s.n)
+                n, sid = fingerprints(row, g, rows)
+                large = np.flatnonzero(n > MANY)
+                of = np.isin(row, large)
+                wide = _lists(parities(np.searchsorted(large, row[of]), g[of], len(large), WIDE), large, rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(n), pa.array(sid, mask=n == 0), _lists(parities(row, g, rows, BITS)), wide], [key, "n", "sid", "odd", "wide"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n long, sid long")
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n long, sid long, odd array<long>, wide array<long>")
 
 
 def _signed(df: DataFrame, text: str, s: Similarity) -> DataFrame:
-    """(sig, sid, n) of each different set; a task gives an equal set again only after SEEN others."""
+    """(sig, sid) of each different set; a task gives an equal set again only after SEEN others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -170,9 +196,9 @@ def _signed(df: DataFrame, text: str, s: Similarity) -> DataFrame:
                         fresh[i] = True
                 keep = fresh[row]
                 owner, sig = signatures(row[keep], g[keep], np.where(fresh, n, 0), s)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sid[owner]), pa.array(n[owner].astype(np.int32))], ["sig", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sid[owner])], ["sig", "sid"])
 
-    return df.select(text).mapInArrow(run, "sig long, sid long, n int")
+    return df.select(text).mapInArrow(run, "sig long, sid long")
 
 
 def _elements(df: DataFrame, text: str, s: Similarity) -> DataFrame:
@@ -203,64 +229,105 @@ def linked(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id",
     ship(df.sparkSession)
     docs = scratch.keep(_documents(df, key, text, s), "documents")
     member = W.partitionBy("sig")
-    bucket = _signed(df, text, s).withColumns({"lo": F.min("sid").over(member), "hi": F.max("sid").over(member), "size": F.count("*").over(member)})
-    bucket = scratch.keep(bucket.filter("lo < hi").select("sig", "sid", "n", "size").distinct(), "buckets")
-    nodes = scratch.keep(bucket.groupBy("sid").agg(F.sum("size").alias("company")), "nodes")
+    bucket = _signed(df, text, s).withColumns({"lo": F.min("sid").over(member), "hi": F.max("sid").over(member)})
+    bucket = scratch.keep(bucket.filter("lo < hi").select("sig", "sid").distinct(), "buckets")
     first = docs.filter("n > 0").groupBy("sid").agg(F.min(key).alias(key))
-    count = nodes.count()
-    links = None
-    if count:
-        want = nodes.select("sid").join(first, "sid").select(key, F.col("sid").alias("want")).filter(F.col(key).isNotNull())
-        texts = df.select(key, text).join(F.broadcast(want) if count <= SENT else want, key)
-        elements = scratch.keep(_elements(texts, text, s).filter("sid = want").dropDuplicates(["sid"]).drop("want"), "elements")
-        links = _rounds(bucket.join(nodes, "sid"), elements, s, scratch)
-        scratch.drop("elements")
-    scratch.drop("buckets", "nodes")
-    if links is None:
+    known = None
+    if not bucket.isEmpty():
+        company = bucket.groupBy("sid").agg(F.count("*").alias("company"))
+        nodes = docs.filter(F.col(key).isNotNull()).join(first, ["sid", key], "left_semi").dropDuplicates(["sid"])
+        nodes = scratch.keep(company.join(nodes, "sid").select("sid", "company", "n", "odd", "wide", key), "nodes")
+        known = _rounds(bucket, nodes, df.select(key, text), s, scratch, key, text)
+        scratch.drop("nodes")
+    scratch.drop("buckets")
+    if known is None:
         named = first.withColumnRenamed(key, "component_id")
     else:
-        rooted = first.join(links.withColumnRenamed("u", "sid"), "sid", "left").select("sid", F.coalesce("v", "sid").alias("root"), F.col(key))
+        rooted = first.join(known.withColumnRenamed("u", "sid"), "sid", "left").select("sid", F.coalesce("v", "sid").alias("root"), F.col(key))
         rooted = scratch.keep(rooted, "rooted")
         named = rooted.join(rooted.groupBy("root").agg(F.min(key).alias("component_id")), "root").select("sid", "component_id")
-    return docs.join(named, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
+    return docs.select(key, "n", "sid").join(named, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
+
+
+def _near(m: str, n: str, a: str, b: str, s: Similarity) -> str:
+    """SQL: sets of m and n elements with parities a and b can be similar."""
+    flips = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+    return f"({s.den} * least({m}, {n}) >= {s.num} * greatest({m}, {n}) AND {s.den + s.num} * {flips} <= {s.den - s.num} * ({m} + {n}))"
 
 
-def _rounds(bucket: DataFrame, elements: DataFrame, s: Similarity, scratch: Scratch) -> DataFrame | None:
+class _Links:
+    """The links found so far, and the pairs that have been made."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, s: Similarity, scratch: Scratch, key: str, text: str):
+        self.nodes, self.texts, self.s, self.scratch, self.key, self.text = nodes, texts, s, scratch, key, text
+        self.found: list[DataFrame] = []
+        self.made: list[DataFrame] = []
+        self.known: DataFrame | None = None
+        self.step = 0
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Adds the links among pairs (u, v) to what is known."""
+        for t in self.made:
+            pairs = pairs.join(t, ["u", "v"], "left_anti")
+        wide = self.nodes.filter("wide IS NOT NULL").select("sid", "wide", "n")
+        pairs = pairs.distinct().join(wide.toDF("u", "a", "m"), "u", "left").join(wide.toDF("v", "b", "n"), "v", "left")
+        pairs = pairs.filter(f"a IS NULL OR b IS NULL OR {_near('m', 'n', 'a', 'b', self.s)}").select("u", "v")
+        pairs = self.scratch.keep(pairs, f"pairs-{len(self.made)}")
+        self.made.append(pairs)
+        ends = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).groupBy("sid").agg(F.count("*").alias("degree"))
+        ends = self.scratch.keep(ends.join(self.nodes.select("sid", self.key), "sid"), "ends")
+        count = ends.count()
+        if not count:
+            return
+        want = ends.select(self.key, F.col("sid").alias("want"))
+        some = self.texts.join(F.broadcast(want) if count <= SENT else want, self.key)
+        elements = self.scratch.keep(_elements(some, self.text, self.s).filter("sid = want").dropDuplicates(["sid"]).drop("want"), "elements")
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        busiest = both.join(ends.select(F.col("sid").alias("v"), "degree"), "v").groupBy("u").agg(F.max(F.struct("degree", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+        busiest = self.scratch.keep(busiest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "busiest")
+        self._add(_verified(busiest, elements, self.s))
+        rest = pairs.join(busiest, ["u", "v"], "left_anti")
+        if self.known is not None:
+            rest = rest.join(self.known.select("u", F.col("v").alias("cu")), "u", "left").join(self.known.select(F.col("u").alias("v"), F.col("v").alias("cv")), "v", "left")
+            rest = rest.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+        self._add(_verified(rest, elements, self.s))
+        self.scratch.drop("ends", "elements", "busiest")
+
+    def _add(self, links: DataFrame) -> None:
+        self.step += 1
+        self.found.append(self.scratch.keep(links, f"links-{self.step}"))
+        every = self.found[0]
+        for f in self.found[1:]:
+            every = every.unionByName(f)
+        self.known = components(every, self.scratch, f"components-{self.step}")
+
+
+def _rounds(bucket: DataFrame, nodes: DataFrame, texts: DataFrame, s: Similarity, scratch: Scratch, key: str, text: str) -> DataFrame | None:
     """components() of all links."""
-    found: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    known, k = None, 0
+    links, k = _Links(nodes, texts, s, scratch, key, text), 0
     member = W.partitionBy("sig")
+
     while True:
         k += 1
-        now = bucket.withColumn("c", F.col("sid")) if known is None else bucket.join(known.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
-        # a node that has left a bucket has been compared with all in it
-        now = now.withColumns({"top": F.max(F.struct("company", "sid", "n", "c")).over(member), "lo": F.min("c").over(member), "hi": F.max("c").over(member)}).filter("lo < hi").drop("lo", "hi")
-        now = scratch.keep(now, f"round-{k}")
+        now = bucket.withColumn("c", F.col("sid"))
+        if links.known is not None:
+            now = bucket.join(links.known.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
+            now = scratch.keep(now.withColumns({"lo": F.min("c").over(member), "hi": F.max("c").over(member)}).filter("lo < hi").drop("lo", "hi"), f"round-{k}")
         cross = now.groupBy("sig", "c").count().groupBy("sig").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        pairs_left, rows = cross.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2), F.sum("g")).first()
+        left, rows = cross.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2), F.sum("g")).first()
         if not rows:
-            return known
-        last = pairs_left <= TIMES * rows
-        if last:
-            a, b = now.select("sig", F.col("sid").alias("x"), F.col("n").alias("m"), F.col("c").alias("d")), now.select("sig", "sid", "n", "c")
-            pairs = a.join(b, "sig").filter("x < sid AND d <> c")
-        else:
-            pairs = now.select("sid", "n", "c", F.col("top.sid").alias("x"), F.col("top.n").alias("m"), F.col("top.c").alias("d")).filter("x <> sid AND d <> c")
-        near = s.den * F.least("n", "m") >= s.num * F.greatest("n", "m")
-        pairs = pairs.filter(near).select(F.least("x", "sid").alias("u"), F.greatest("x", "sid").alias("v")).distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["u", "v"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{k}")
-        tested.append(pairs)
-        found.append(scratch.keep(_verified(pairs, elements, s), f"links-{k}"))
-        every = found[0]
-        for f in found[1:]:
-            every = every.unionByName(f)
-        known = components(every, scratch, f"components-{k}")
-        if last:
-            return known
-        bucket = now.filter("sid <> top.sid").drop("top", "c")
+            return links.known
+        full = now.join(nodes.drop(key, "wide"), "sid")
+        if left <= TIMES * rows:
+            a, b = full.alias("a"), full.alias("b")
+            pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.c") != F.col("b.c")) & F.expr(_near("a.n", "b.n", "a.odd", "b.odd", s)))
+            links.compare(pairs.select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")))
+            return links.known
+        full = full.withColumn("top", F.max(F.struct("company", "sid", "n", "c", "odd")).over(member))
+        pairs = full.filter("sid <> top.sid AND c <> top.c").filter(F.expr(_near("n", "top.n", "odd", "top.odd", s)))
+        links.compare(pairs.select(F.least("sid", "top.sid").alias("u"), F.greatest("sid", "top.sid").alias("v")))
+        pivots = now.join(nodes.select("sid", "company"), "sid").groupBy("sig").agg(F.max(F.struct("company", "sid")).alias("top")).select("sig", F.col("top.sid").alias("sid"))
+        bucket = scratch.keep(now.select("sig", "sid").join(pivots, ["sig", "sid"], "left_anti"), f"left-{k}")
 
 
 def one_of_each(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
