@@ -37,7 +37,9 @@ from ..plans.runtime import Scratch, ship
 from .common import chunks, mix, ngrams, words
 from .components import components
 
-LEAST, TIMES, BITS = 5, 4, 512
+LEAST, TIMES, BITS = 5, 200, 512
+#: Columns of the parities, so that pairs are held against each other in generated code, some ten nanoseconds for each.
+ODD = [f"o{i}" for i in range(BITS // 64)]
 #: Sets over MANY elements have their parities over WIDE cells too.
 MANY, WIDE = 1000, 4096
 #: Candidates up to this number are sent to the executors to pick their texts; more are joined. Equal sets that a task remembers.
@@ -149,10 +151,8 @@ def parities(row: np.ndarray, g: np.ndarray, rows: int, bits: int) -> np.ndarray
     return np.packbits(odd, axis=1).view(np.int64)
 
 
-def _lists(x: np.ndarray, at: np.ndarray | None = None, rows: int = 0) -> pa.ListArray:
-    """The rows of x as lists; with at, those are the lists at these places of `rows` and the others are null."""
-    if at is None:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+def _lists(x: np.ndarray, at: np.ndarray, rows: int) -> pa.ListArray:
+    """The rows of x as the lists at these places of `rows`; the others are null."""
     have = np.zeros(rows, bool)
     have[at] = True
     cut = np.append(0, np.cumsum(have)).astype(np.int32) * x.shape[1]
@@ -160,7 +160,7 @@ def _lists(x: np.ndarray, at: np.ndarray | None = None, rows: int = 0) -> pa.Lis
 
 
 def _documents(df: DataFrame, key: str, text: str, s: Similarity) -> DataFrame:
-    """(key, n, sid, odd, wide): size, fingerprint and parities of each document's set."""
+    """(key, n, sid, o0 to o7, wide): size, fingerprint and parities of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,9 +171,9 @@ def _documents(df: DataFrame, key: str, text: str, s: Similarity) -> DataFrame:
                 large = np.flatnonzero(n > MANY)
                 of = np.isin(row, large)
                 wide = _lists(parities(np.searchsorted(large, row[of]), g[of], len(large), WIDE), large, rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(n), pa.array(sid, mask=n == 0), _lists(parities(row, g, rows, BITS)), wide], [key, "n", "sid", "odd", "wide"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(n), pa.array(sid, mask=n == 0), *map(pa.array, parities(row, g, rows, BITS).T.copy()), wide], [key, "n", "sid", *ODD, "wide"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n long, sid long, odd array<long>, wide array<long>")
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n long, sid long, {', '.join(o + ' long' for o in ODD)}, wide array<long>")
 
 
 def _signed(df: DataFrame, text: str, s: Similarity) -> DataFrame:
@@ -236,7 +236,7 @@ def linked(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id",
     if not bucket.isEmpty():
         company = bucket.groupBy("sid").agg(F.count("*").alias("company"))
         nodes = docs.filter(F.col(key).isNotNull()).join(first, ["sid", key], "left_semi").dropDuplicates(["sid"])
-        nodes = scratch.keep(company.join(nodes, "sid").select("sid", "company", "n", "odd", "wide", key), "nodes")
+        nodes = scratch.keep(company.join(nodes, "sid").select("sid", "company", "n", *ODD, "wide", key), "nodes")
         known = _rounds(bucket, nodes, df.select(key, text), s, scratch, key, text)
         scratch.drop("nodes")
     scratch.drop("buckets")
@@ -249,9 +249,13 @@ def linked(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id",
     return docs.select(key, "n", "sid").join(named, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
 
 
-def _near(m: str, n: str, a: str, b: str, s: Similarity) -> str:
-    """SQL: sets of m and n elements with parities a and b can be similar."""
-    flips = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+def _flips(a: str, b: str) -> str:
+    return " + ".join(f"bit_count({a}{o} ^ {b}{o})" for o in ODD)
+
+
+def _near(m: str, n: str, flips: str, s: Similarity) -> str:
+    """SQL: sets of m and n elements with so many different parities can be similar."""
+    flips = f"({flips})"
     return f"({s.den} * least({m}, {n}) >= {s.num} * greatest({m}, {n}) AND {s.den + s.num} * {flips} <= {s.den - s.num} * ({m} + {n}))"
 
 
@@ -271,7 +275,7 @@ class _Links:
             pairs = pairs.join(t, ["u", "v"], "left_anti")
         wide = self.nodes.filter("wide IS NOT NULL").select("sid", "wide", "n")
         pairs = pairs.distinct().join(wide.toDF("u", "a", "m"), "u", "left").join(wide.toDF("v", "b", "n"), "v", "left")
-        pairs = pairs.filter(f"a IS NULL OR b IS NULL OR {_near('m', 'n', 'a', 'b', self.s)}").select("u", "v")
+        pairs = pairs.filter(f"a IS NULL OR b IS NULL OR {_near('m', 'n', 'aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)', self.s)}").select("u", "v")
         pairs = self.scratch.keep(pairs, f"pairs-{len(self.made)}")
         self.made.append(pairs)
         ends = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).groupBy("sid").agg(F.count("*").alias("degree"))
@@ -320,11 +324,11 @@ def _rounds(bucket: DataFrame, nodes: DataFrame, texts: DataFrame, s: Similarity
         full = now.join(nodes.drop(key, "wide"), "sid")
         if left <= TIMES * rows:
             a, b = full.alias("a"), full.alias("b")
-            pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.c") != F.col("b.c")) & F.expr(_near("a.n", "b.n", "a.odd", "b.odd", s)))
+            pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.c") != F.col("b.c")) & F.expr(_near("a.n", "b.n", _flips("a.", "b."), s)))
             links.compare(pairs.select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")))
             return links.known
-        full = full.withColumn("top", F.max(F.struct("company", "sid", "n", "c", "odd")).over(member))
-        pairs = full.filter("sid <> top.sid AND c <> top.c").filter(F.expr(_near("n", "top.n", "odd", "top.odd", s)))
+        full = full.withColumn("top", F.max(F.struct("company", "sid", "n", "c", *ODD)).over(member))
+        pairs = full.filter("sid <> top.sid AND c <> top.c").filter(F.expr(_near("n", "top.n", _flips("", "top."), s)))
         links.compare(pairs.select(F.least("sid", "top.sid").alias("u"), F.greatest("sid", "top.sid").alias("v")))
         pivots = now.join(nodes.select("sid", "company"), "sid").groupBy("sig").agg(F.max(F.struct("company", "sid")).alias("top")).select("sig", F.col("top.sid").alias("sid"))
         bucket = scratch.keep(now.select("sig", "sid").join(pivots, ["sig", "sid"], "left_anti"), f"left-{k}")
