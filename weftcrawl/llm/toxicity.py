@@ -23,7 +23,7 @@ from ..plans.runtime import ship
 from .common import chunks, words
 
 #: Labelled texts of each label that the model is fitted on, and its features at most.
-TEXTS, FEATURES = 3000, 4096
+TEXTS, FEATURES = 2000, 4096
 PREFIXES = (4, 5, 6)
 #: A feature has to occur in so many sampled texts, with a label above 0, and so much more often there than elsewhere.
 LEAST, LIFT = 6, 8.0
@@ -69,11 +69,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 NONE = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
 
 
-def select(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """Hashes of the features that speak most for labels above 0, by occurrences times the log of the lift."""
-    seen: list[np.ndarray] = []
-    sides: list[np.ndarray] = []
-    for first, buf, offsets in chunks(pa.array(texts, pa.string())):
+def _occurrences(texts: list[str]) -> Iterator[np.ndarray]:
+    """The features of each text once, of some texts at a time."""
+    for _, buf, offsets in chunks(pa.array(texts, pa.string())):
         w = words(buf, offsets)
         keys = np.concatenate(w.prefixes(*PREFIXES))
         rows = np.tile(w.row, 1 + len(PREFIXES))
@@ -81,17 +79,25 @@ def select(texts: list[str], labels: np.ndarray) -> np.ndarray:
         keys, rows = keys[order], rows[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
-        seen.append(keys[new])
-        sides.append(labels[first + rows[new]] > 0)
-    if not seen:
-        return np.zeros(0, np.uint64)
-    keys, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-    side = np.concatenate(sides)
-    up = np.bincount(inverse, weights=side, minlength=len(keys))
-    down = np.bincount(inverse, weights=~side, minlength=len(keys))
-    n_up, n_down = max(1, (labels > 0).sum()), max(1, (labels == 0).sum())
+        yield keys[new]
+
+
+def select(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """Hashes of the features that speak most for labels above 0, by occurrences times the log of the lift."""
+    keys, up = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for found in _occurrences([t for t, y in zip(texts, labels, strict=True) if y > 0]):
+        keys, at = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        up = np.bincount(at, weights=np.concatenate([up, np.ones(len(found))]), minlength=len(keys))
+    keys, up = keys[up >= LEAST], up[up >= LEAST]
+    if not len(keys):
+        return keys
+    down = np.zeros(len(keys))
+    for found in _occurrences([t for t, y in zip(texts, labels, strict=True) if y <= 0]):
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        down += np.bincount(at[keys[at] == found], minlength=len(keys))
+    n_up, n_down = max(1, (labels > 0).sum()), max(1, (labels <= 0).sum())
     lift = np.log((up + 0.5) / (n_up + 1)) - np.log((down + 0.5) / (n_down + 1))
-    worth = up * lift * (lift >= np.log(LIFT)) * (up >= LEAST)
+    worth = up * lift * (lift >= np.log(LIFT))
     best = np.argsort(-worth, kind="stable")[:FEATURES]
     return np.sort(keys[best[worth[best] > 0]])
 
