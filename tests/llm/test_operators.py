@@ -80,7 +80,6 @@ def test_partenum(spark, docs, s):
 def test_partenum_rounds_without_the_last_step(spark, docs, monkeypatch):
     """Pivot after pivot gives the same components."""
     monkeypatch.setattr(partenum, "TIMES", 0)
-    monkeypatch.setattr(partenum, "FIRST", 0)
     s = partenum.Similarity(60, 100, 3)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None][:60]
     some = spark.createDataFrame(rows, "doc_id long, text string")

@@ -7,11 +7,12 @@ at most k2 = k // n1 elements, and each of these into n2 second-level partitions
 elements in it make one signature. Similar sets share a signature. n1, n2 and k2 are the cheapest of which a signature covers
 LEAST elements on average.
 
-Equal sets are one node. Nodes that share a signature are a bucket. In each round a bucket's node with the most company is its
-pivot and is paired with those of the bucket that are not known to be in its component; then it has met all and leaves. Once
-the pairs that are left and cross components are at most TIMES the bucket rows (FIRST before any round, when none are known
-to be in one component), they are all held against each other. So every similar pair is
-either made or within one component already, and the work is linear in the buckets in each round, whatever their size.
+Equal sets are one node. Nodes that share a signature are a bucket. In the first round each bucket is put into a random order
+of its own and each node is paired with the one before it, so that a node meets many partners and groups of near copies come
+together. Then, once the pairs that are left and cross components are at most TIMES the bucket rows, they are all held against
+each other; until then, in each round a bucket's node with the most company is its pivot, is paired with those of the bucket
+that are not known to be in its component, and leaves. So every similar pair is either made or within one component already,
+and the work is linear in the buckets in each round, whatever their size.
 
 A pair is compared exactly unless the parities of its sets' elements over BITS cells differ in more places than similar sets
 differ in elements (each element that only one set has flips one parity). Of the pairs that are left, those of each node with
@@ -38,7 +39,7 @@ from ..plans.runtime import Scratch, ship
 from .common import chunks, mix, ngrams, words
 from .components import components
 
-LEAST, FIRST, TIMES, BITS = 5, 4, 50, 512
+LEAST, TIMES, BITS = 5, 200, 512
 #: Columns of the parities, so that pairs are held against each other in generated code, some ten nanoseconds for each.
 ODD = [f"o{i}" for i in range(BITS // 64)]
 #: Sets over MANY elements have their parities over WIDE cells too.
@@ -323,7 +324,12 @@ def _rounds(bucket: DataFrame, nodes: DataFrame, texts: DataFrame, s: Similarity
         if not rows:
             return links.known
         full = now.join(nodes.drop(key, "wide"), "sid")
-        if left <= (FIRST if k == 1 else TIMES) * rows:
+        if k == 1:
+            before = F.lag(F.struct("sid", "n", "c", *ODD)).over(member.orderBy(F.xxhash64("sig", "sid")))
+            pairs = full.withColumn("top", before).filter("top IS NOT NULL AND sid <> top.sid").filter(F.expr(_near("n", "top.n", _flips("", "top."), s)))
+            links.compare(pairs.select(F.least("sid", "top.sid").alias("u"), F.greatest("sid", "top.sid").alias("v")))
+            continue
+        if left <= TIMES * rows:
             a, b = full.alias("a"), full.alias("b")
             pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.c") != F.col("b.c")) & F.expr(_near("a.n", "b.n", _flips("a.", "b."), s)))
             links.compare(pairs.select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")))
