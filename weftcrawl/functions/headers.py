@@ -89,13 +89,13 @@ def _last_of_each(pairs: Column) -> Column:
 
 def cookies(value) -> Column:
     """`k=v; k2=v2` as a map; parts without = or a name go, the last wins."""
-    parts = F.filter(F.transform(F.split(_col(value), ";"), F.trim), lambda p: p.contains("=") & ~p.startswith("="))
+    parts = F.filter(F.transform(F.split(_col(value), ";"), lambda x: F.trim(x)), lambda p: p.contains("=") & ~p.startswith("="))
     return _last_of_each(F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.regexp_extract(p, "=(.*)$", 1)).alias("v"))))
 
 
 def cache_control(value) -> Column:
     """directives as a map, names lowered, quotes of values kept, empty where there is no value."""
-    parts = F.filter(F.transform(F.split(F.coalesce(_col(value), F.lit("")), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(_col(value), F.lit("")), ","), lambda x: F.trim(x)), lambda p: p != "")
     return _last_of_each(F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(F.regexp_extract(p, "=(.*)$", 1)).alias("v"))))
 
 

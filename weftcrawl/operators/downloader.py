@@ -27,7 +27,7 @@ def with_defaults(headers: Column, defaults: dict[str, str], user_agent: str | N
     more = dict(defaults) | ({"User-Agent": user_agent} if user_agent else {})
     if not more:
         return headers
-    have = F.transform(F.map_keys(F.coalesce(headers, F.create_map().cast("map<string,array<string>>"))), F.lower)
+    have = F.transform(F.map_keys(F.coalesce(headers, F.create_map().cast("map<string,array<string>>"))), lambda k: F.lower(k))
     add = F.map_filter(F.create_map(*(x for k, v in more.items() for x in (F.lit(k), F.array(F.lit(v))))), lambda k, _: ~F.array_contains(have, F.lower(k)))
     return F.map_concat(F.coalesce(headers, F.create_map().cast("map<string,array<string>>")), add)
 
@@ -86,8 +86,10 @@ def redirects(responses: DataFrame, limit: int = 20, step: int = 2, mode: str =
     follows = follows & (times <= limit if mode == "documented" else times <= limit + 1 - times)
     get = (F.col("status").isin(301, 302) & (F.col("method") == "POST")) | ((F.col("status") == 303) & ~F.col("method").isin("GET", "HEAD"))
     away = urls.host(target) != urls.host("url")
-    kept = F.map_filter("headers", lambda k, _: ~(away & F.lower(k).isin("cookie", "authorization")) & ~(get & F.lower(k).isin("content-type", "content-length")))
-    return responses.filter(follows).withColumns(
+    # as columns first: inside the lambda, url would be the new one
+    rows = responses.filter(follows).withColumns({"__away": away, "__get": get})
+    kept = F.map_filter("headers", lambda k, _: ~(F.col("__away") & F.lower(k).isin("cookie", "authorization")) & ~(F.col("__get") & F.lower(k).isin("content-type", "content-length")))
+    out = rows.withColumns(
         {
             "redirect_urls": F.array_append(F.coalesce("redirect_urls", F.array().cast("array<string>")), F.col("url")),
             "url": target,
@@ -98,6 +100,7 @@ def redirects(responses: DataFrame, limit: int = 20, step: int = 2, mode: str =
             "priority": F.coalesce("priority", F.lit(0)) + step,
         }
     )
+    return out.drop("__away", "__get")
 
 
 def set_cookies(jar: DataFrame | None, responses: DataFrame) -> DataFrame:

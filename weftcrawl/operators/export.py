@@ -94,7 +94,9 @@ def document(items: DataFrame, kind: str, feed: Feed) -> str:
     """A small document as one string (standard output, tests)."""
     if kind == "csv":
         rows = flat(items, feed.join)
-        line = rows.select(F.to_csv(F.struct(*rows.columns), {"emptyValue": "", "nullValue": "", "escape": '"'}).alias("x"))
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]
+        quoted = [F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]
+        line = rows.select(F.concat_ws(",", *quoted).alias("x"))
         return "".join(x + "\n" for x in ([",".join(items.columns)] if feed.header else []) + [r[0] for r in line.toLocalIterator()])
     if kind == "xml":
         return f'<?xml version="1.0" encoding="UTF-8"?>\n<{feed.root}>' + "".join(r[0] for r in items.select(xml_item(items, feed.item)).toLocalIterator()) + f"</{feed.root}>"
