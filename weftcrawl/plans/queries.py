@@ -424,3 +424,61 @@ def cookies_jar(spark, sf_dir):
 def content_types(spark, sf_dir):
     v = F.when(F.col("event_type") == "view", 'Text/HTML; charset="latin-1"').when(F.col("event_type") == "click", " application/json ").otherwise("image/png;q=1")
     return read(spark, sf_dir, "events").select("event_id", H.content_type(v).alias("kind"), H.charset(v).alias("charset"), H.is_text(v).alias("is_text"))
+
+
+@query("SELECT url, 'GET' AS method, true AS dont_filter, 0 AS priority FROM pages WHERE page_id % 5 > 0")
+def seed_scan(spark, sf_dir):
+    """Start URLs past the duplicate filter; those without a scheme go."""
+    p = read(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 5 > 0, F.col("url")).otherwise(F.substring_index("url", "://", -1)).alias("url"))
+    return requests.seeds(spark, p).select("url", "method", "dont_filter", "priority")
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, (props->>'$.none') IS NULL AS missing FROM events")
+def json_body_scan(spark, sf_dir):
+    """Bodies as VARIANT, so that no schema is fixed."""
+    e = read(spark, sf_dir, "events").withColumn("v", F.try_parse_json("props"))
+    return e.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.try_variant_get("v", "$.none", "string").isNull().alias("missing"))
+
+
+@query("""WITH w AS (SELECT unnest([time_bucket(INTERVAL '1 day', ts), time_bucket(INTERVAL '1 day', ts) - INTERVAL '1 day']) AS s FROM events)
+SELECT epoch(s)::BIGINT AS window_s, round(count(*) / 172800.0, 9) AS per_second FROM w GROUP BY s""")
+def sliding_rate(spark, sf_dir):
+    """T-6."""
+    r = stats.sliding_rates(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), seconds=172_800, slide=86_400)
+    return r.select(F.unix_timestamp("window_start").alias("window_s"), F.round("per_second", 9).alias("per_second"))
+
+
+@query(f"""WITH r AS (SELECT event_id, {_STATUS_SQL} AS status, user_id % 3 AS k FROM events)
+SELECT event_id, CASE WHEN k = 0 AND status >= 500 THEN 'revalidate' WHEN k < 2 AND status IN (200, 301) THEN CASE WHEN k = 0 THEN 'invalidate' ELSE 'store' END ELSE 'uncacheable' END AS outcome FROM r""")
+def cache_outcome(spark, sf_dir):
+    """Rows with k = 0 have an entry; those with k < 2 a validator and a lifetime."""
+    a = _answers(spark, sf_dir).withColumn("k", F.col("user_id") % 3)
+    h = F.when(F.col("k") < 2, F.expr("map('ETag', array('x'), 'Cache-Control', array('max-age=5'))")).otherwise(F.expr("map('ETag', array('x'), 'Cache-Control', array('no-store'))"))
+    old = F.when(F.col("k") == 0, F.expr("map('ETag', array('x'))"))
+    storable = cache.may_store(F.col("status"), h) & F.col("status").isin(200, 301)
+    return a.select("event_id", cache.outcome(F.col("status"), old, storable).alias("outcome"))
+
+
+@query(f"""WITH {LINKS}, h AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host FROM kept), x AS (SELECT host FROM h WHERE NOT (host = 'example.com' OR host LIKE '%.example.com'))
+SELECT 'offsite/filtered' AS key, count(*)::BIGINT AS value FROM x UNION ALL SELECT 'offsite/domains', count(DISTINCT host)::BIGINT FROM x""")
+def offsite_stats(spark, sf_dir):
+    """M9."""
+    return filters.offsite_counts(_links(spark, sf_dir), filters.on_site("url", ["example.com"]))
+
+
+@query("""SELECT 'responses_per_minute' AS key, round(count(*) * 60 / (epoch(max(ts)) - epoch(min(ts))), 9) AS value FROM events UNION ALL SELECT 'items_per_minute', round(count(*) FILTER (event_type = 'purchase') * 60 / (epoch(max(ts)) - epoch(min(ts))), 9) FROM events""")
+def final_rates(spark, sf_dir):
+    """A7, A9."""
+    e = read(spark, sf_dir, "events").agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) - F.min(F.unix_micros(F.col("ts").cast("timestamp")))).alias("us"), F.count("*").alias("r"), F.count_if(F.col("event_type") == "purchase").alias("i"))
+    pairs = F.create_map(F.lit("elapsed_time_seconds"), F.col("us") / 1e6, F.lit("response_received_count"), F.col("r").cast("double"), F.lit("item_scraped_count"), F.col("i").cast("double"))
+    rates = stats.final_rates(e.select(F.explode(pairs).alias("key", "value")))
+    return rates.select("key", F.round("value", 9).alias("value"))
+
+
+@query("""SELECT doc_id, 'lang,size,source' AS names, lang || '/' || source AS joined, n_chars AS size FROM documents""")
+def item_fields(spark, sf_dir):
+    """Dynamic items as maps: names in order, reads, writes and lengths."""
+    m = F.map_from_arrays(F.array(F.lit("source"), F.lit("lang")), F.array("source", "lang"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "n_chars", F.map_concat(m, F.create_map(F.lit("size"), F.col("n_chars").cast("string"))).alias("m"))
+    get = lambda k: F.try_element_at("m", F.lit(k))
+    return d.select("doc_id", F.array_join(F.array_sort(F.map_keys("m")), ",").alias("names"), F.concat_ws("/", get("lang"), get("source")).alias("joined"), get("size").cast("long").alias("size"))
