@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from weftcrawl.functions import urls as U
 from weftcrawl.operators import cache, crawl, downloader, export, filters, frontier, items, links, requests, robots, stats
 from weftcrawl.plans import runner, settings, signals
-from weftcrawl.plans.runtime import Scratch
 
 PAGE = """<html><body><a href="/page/1#s">Page 1</a><a href="/page/1">again</a><a rel="x NoFollow" href="https://other.com/p">o</a><a href="mailto:x">m</a><a href="/a.PDF">pdf</a>
 <!-- <a href="/hidden">h</a> --><area href="/area"><div class=content><a href="/in"><b>nested</b> text</a></div><a href="javascript:0">j</a><a href=" ">e</a><img src="/i.html"></body></html>"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import _col, extension
+from .urls import _col
 
 # Reasons of retried statuses, types by extension, patterns of HTTP dates.
 REASONS = {400: "Bad Request", 408: "Request Timeout", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout", 522: "Connection Timed Out", 524: "A Timeout Occurred"}
@@ -168,5 +168,3 @@ def describe_response(status, url) -> Column:
 def describe_link(url, text) -> Column:
     return F.format_string("Link(url=%s, text=%s)", _col(url), _col(text))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["extension"]
