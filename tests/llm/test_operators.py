@@ -102,6 +102,32 @@ def test_similar_sets_share_a_signature():
         assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
+def signed_alone(a, s):
+    """The signatures of a set that is alone in its chunk."""
+    return set(partenum.signatures(np.zeros(len(a), np.int64), np.sort(a), np.array([len(a)]), s)[1].tolist())
+
+
+@pytest.mark.parametrize("s", [partenum.Similarity(85, 100, 4), partenum.Similarity(80, 100, 5)])
+def test_signatures_do_not_depend_on_the_chunk(s):
+    """At each band's edge and each power of two, the smaller set of the band before meets the larger one, each signed in its own call."""
+    rng = np.random.default_rng(3)
+    edges = partenum.bands(s, 2000)[0].tolist()
+    for small in sorted({x - 1 for x in edges if x > 7} | {(1 << k) - 1 for k in range(3, 12)} | {1 << k for k in range(3, 12)}):
+        most = small * s.den // s.num
+        for large in sorted({min(most, small + 1), *(x for x in edges if small < x <= most), most} - {small}):
+            a = rng.integers(0, 2**63, large).astype(np.uint64)
+            assert signed_alone(a, s) & signed_alone(a[:small], s), (small, large)
+
+
+def test_signatures_alone_are_those_beside_a_larger_set():
+    s, rng = partenum.Similarity(85, 100, 4), np.random.default_rng(4)
+    other = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    for n in (1, 2, 6, 7, 8, 15, 31, 60, 63, 64, 127, 255, 500, 511, 1023):
+        a = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
+        owner, sig = partenum.signatures(np.repeat([0, 1], [n, len(other)]), np.concatenate([a, np.sort(other)]), np.array([n, len(other)]), s)
+        assert set(sig[owner == 0].tolist()) == signed_alone(a, s)
+
+
 def test_partenum_empty(spark, empty):
     assert partenum.linked(empty, partenum.Similarity(85, 100, 4), Scratch(spark, "t5")).count() == 0
 

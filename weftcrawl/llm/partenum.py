@@ -94,9 +94,9 @@ class Band(NamedTuple):
 
 @lru_cache(8)
 def bands(s: Similarity, upto: int) -> tuple[np.ndarray, tuple[Band, ...]]:
-    """(the least size of each band, and one beyond the last; the bands) for sets of up to `upto` elements."""
+    """(the least size of each band, and one beyond the last; the bands) for sets of up to `upto` elements, and one band beyond theirs."""
     least, found = [1], []
-    while least[-1] <= upto or len(found) < 2:
+    while len(found) < 2 or least[-2] <= upto:
         most = least[-1] * s.den // s.num
         k = 2 * most * (s.den - s.num) // (s.den + s.num)
         choices = []
@@ -118,7 +118,7 @@ def signatures(row: np.ndarray, g: np.ndarray, n: np.ndarray, s: Similarity) ->
     spread, value = mix(g ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(32), mix(g)
     for up in (0, 1):
         band = own + up
-        k, n1, n2, k2 = (np.array([b[i] for b in params])[np.minimum(band, len(params) - 1)] for i in range(4))
+        k, n1, n2, k2 = (np.array([b[i] for b in params])[band] for i in range(4))
         cells = np.where((n > 0) & (k > 0), n1 * n2, 0)
         if not cells.any():
             continue
