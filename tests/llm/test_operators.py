@@ -266,6 +266,33 @@ def test_suffix_tree_beats_chance_on_held_out(spark):
     assert out["sum(score)"] / out["sum(n_tokens)"] > -3.0
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """A context of the fixed least count is a state however large the rest is, and contexts of more than five symbols are."""
+    rng = random.Random(9)
+    rare = [(0, "zxab yxac " * 30)]
+    few, many = [rare + [(10 + i, prose(rng, 4000)) for i in range(k)] for k in (1, 700)]
+    small, large = (suffix_tree.learn(spark.createDataFrame(x, "doc_id long, text string").repartition(4), Scratch(spark, "t10")).contexts for x in (few, many))
+    assert b"zxa" in small and b"zxa" in large
+    assert len(large) > 2 * len(small)
+    assert max(map(len, large)) > 5
+
+
+def test_suffix_tree_in_parts_is_the_whole_tree(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HOLD", 20_000)
+    rng = random.Random(10)
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, prose(rng, 300)) for i in range(40)], "doc_id long, text string"))
+    whole = suffix_tree.learn(more, Scratch(spark, "t10"))
+    bounds, parts = suffix_tree.learn_parts(more, Scratch(spark, "t10"), part=200)
+    assert len(parts) > 5
+    held, want = suffix_tree._Held(bounds, parts), []
+    for r in more.collect():
+        data = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        w = suffix_tree.words(data, np.array([0, len(data)]))
+        want.append(whole.score(*suffix_tree.symbols(w, 1, whole.depth), 1)[0])
+        held.add(w, 1, None)
+    assert np.allclose([x[0] for x, _ in held.scores()], want, rtol=1e-5)
+
+
 def test_language(spark, docs):
     rng = random.Random(3)
     kinds = {"a": "the and of with that", "b": "der die und mit nicht", "c": "que los para con una"}

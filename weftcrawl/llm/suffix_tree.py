@@ -2,12 +2,15 @@
 
 The symbols of a text are the bytes of its words, A-Z lowered, a space after each word and one newline as its end; before it
 lie newlines. A context is a run of up to DEPTH preceding symbols. Counts of all runs of DEPTH + 1 symbols in the training
-texts are summed over the whole corpus. A context is a candidate if it makes up SHARE of all events, so at most 1 / SHARE
-are candidates at each length, whatever the corpus. A candidate stays if its next-symbol distribution diverges from that of
-its suffix (count times Kullback-Leibler divergence of at least GAIN nats), or if a longer one that stays needs it.
+texts are summed over the whole corpus. A context is a candidate if it occurs LEAST times, so that the model grows with the
+corpus. A candidate stays if its next-symbol distribution diverges from that of its suffix (count times Kullback-Leibler
+divergence of at least GAIN nats), if a longer one that stays needs it, or if it has fewer than ROOT symbols.
 Distributions are smoothed toward that of the suffix by the number of different next symbols, at the root toward the uniform
 one. A symbol's probability is that in the longest suffix state of what precedes it.
 
+The contexts that end in the same ROOT symbols are built together, in parts of about PART candidates, by the executors. Each part
+is sent on its own; a task holds HOLD bytes of text against one part after the other, so that it has one part in memory.
+
 The base score is that of words with add-one smoothing. Counts of words that make up COMMON of the tokens (at most 1 / COMMON
 words) are sent to the executors; the other words meet their counts in a join.
 
@@ -16,6 +19,7 @@ Null and empty texts are one end. Repeated rows are scored each and all count in
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,7 +32,8 @@ from pyspark.sql import types as T
 from ..plans.runtime import Scratch, ship
 from .common import SPACE, Words, chunks, mix, words
 
-DEPTH, SHARE, GAIN, COMMON = 5, 5e-6, 8.0, 5e-7
+DEPTH, LEAST, GAIN, COMMON = 6, 16, 8.0, 5e-7
+ROOT, PART, HOLD = 3, 50_000, 8 << 20
 PAD, GAP = 0x0A, 0x20
 #: The end of a text among the word hashes.
 END = int(mix(np.array([0x5EED], np.uint64)).astype(np.int64)[0])
@@ -120,16 +125,50 @@ class Tree(NamedTuple):
 
     def score(self, s: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """log10 probability of each row of symbols()."""
+        at = events(row, self.depth)
+        return np.bincount(row[at], weights=self.logs(s, at), minlength=rows)
+
+    def logs(self, s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of the symbols at these places."""
         c = self.classes[s]
         k = self.logp.shape[1]
-        at = events(row, self.depth)
         state, alive = np.zeros(len(at), np.int64), np.ones(len(at), bool)
         child, logp = self.child.ravel(), self.logp.ravel()
         for d in range(1, self.depth + 1):
             below = child[state * k + c[at - d]]
             alive &= below > 0
             state = np.where(alive, below, state)
-        return np.bincount(row[at], weights=logp[state * k + c[at]], minlength=rows)
+        return logp[state * k + c[at]]
+
+    def packed(self) -> tuple:
+        """What unpacked() needs: of each state but the first its parent, class, factor of what it has not seen, and what it has seen."""
+        up, by = np.nonzero(self.child)
+        order = np.argsort(self.child[up, by])
+        up, by = up[order].astype(np.int32), by[order].astype(np.int16)
+        depth = np.array([len(c) for c in self.contexts])
+        back = self.logp[1:, -1] - self.logp[up, -1]
+        seen = []
+        for k in range(0, len(up), 10_000):
+            # one occurrence raises a probability by at least 1 / 256 of it, in log10 by 0.0017
+            i, j = np.nonzero(self.logp[1 + k : 10_001 + k] - self.logp[up[k : k + 10_000]] - back[k : k + 10_000, None] > 5e-4)
+            seen.append(((i + k + 1).astype(np.int32), j.astype(np.int16)))
+        i, j = (np.concatenate(x) for x in zip(*seen, strict=True)) if seen else (np.zeros(0, np.int32), np.zeros(0, np.int16))
+        return self.depth, self.classes, np.searchsorted(depth, np.arange(1, self.depth + 2)), self.logp[0], up, by, back, i, j, self.logp[i, j]
+
+
+def unpacked(packed: tuple) -> Tree:
+    """The tree without the names of its contexts."""
+    depth, classes, cut, first, up, by, back, i, j, value = packed
+    child = np.zeros((len(up) + 1, len(first)), np.int32)
+    child[up, by] = np.arange(1, len(up) + 1)
+    logp = np.empty((len(up) + 1, len(first)), np.float32)
+    logp[0] = first
+    at = np.searchsorted(i, cut)
+    for d in range(depth):
+        a, b, x, y = cut[d], cut[d + 1], at[d], at[d + 1]
+        logp[a:b] = logp[up[a - 1 : b - 1]] + back[a - 1 : b - 1, None]
+        logp[i[x:y], j[x:y]] = value[x:y]
+    return Tree(depth, classes, child, logp, [])
 
 
 def tree(candidates: list[tuple[int, int, list[int], list[int]]], depth: int, gain: float) -> Tree:
@@ -150,7 +189,7 @@ def tree(candidates: list[tuple[int, int, list[int], list[int]]], depth: int, ga
         p = up * (kinds / (total + kinds))
         p[at] += n / (total + kinds)
         dense[d, ctx] = p
-        if d and float((n * np.log(n / total / up[at])).sum()) >= gain:
+        if d and (d < ROOT or float((n * np.log(n / total / up[at])).sum()) >= gain):
             keep.update((e, ctx & ((1 << 8 * e) - 1)) for e in range(1, d + 1))
     states = {x: i for i, x in enumerate(sorted(keep))}
     child = np.zeros((len(states), k), np.int32)
@@ -163,20 +202,98 @@ def tree(candidates: list[tuple[int, int, list[int], list[int]]], depth: int, ga
     return Tree(depth, classes, child, logp, [ctx.to_bytes(d, "big") for d, ctx in states])
 
 
-def learn(df: DataFrame, scratch: Scratch, depth: int = DEPTH, share: float = SHARE, gain: float = GAIN, text: str = "text") -> Tree:
+def candidates(df: DataFrame, scratch: Scratch, depth: int = DEPTH, least: int = LEAST, share: float = 0.0, text: str = "text") -> DataFrame:
+    """(d, ctx, nexts, ns) of the contexts that occur `least` times and make up `share` of the events; that of length 0 always."""
     grams = scratch.keep(gram_counts(df, depth, text), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
+    total = (grams.agg(F.sum("n")).first()[0] or 0) if share else 0
     # length d: the context is the d bytes before the last; at 0 there is none
     level = grams.select(F.explode(F.array([F.struct(F.lit(d).alias("d"), F.expr(f"shiftright(key, 8) & {(1 << 8 * d) - 1}L").alias("ctx"), F.expr("int(key & 255L)").alias("next"), "n") for d in range(depth + 1)])).alias("x")).select("x.*")
     level = level.groupBy("d", "ctx", "next").agg(F.sum("n").alias("n"))
     # a context has at most 256 next symbols
-    found = level.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.collect_list("next").alias("nexts"), F.collect_list("n").alias("ns")).filter(F.col("total") >= max(1.0, share * total))
-    rows = found.select("d", "ctx", "nexts", "ns").toArrow() if total else None
-    out = tree([] if rows is None else list(zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True)), depth, gain)
+    found = level.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.collect_list("next").alias("nexts"), F.collect_list("n").alias("ns"))
+    found = scratch.keep(found.filter((F.col("d") == 0) | (F.col("total") >= max(least, share * total))).select("d", "ctx", "nexts", "ns"), "candidates")
     scratch.drop("grams")
+    return found
+
+
+def _rows(t: pa.Table) -> list[tuple[int, int, list[int], list[int]]]:
+    return list(zip(*(t.column(x).to_pylist() for x in ("d", "ctx", "nexts", "ns")), strict=True))
+
+
+def learn(df: DataFrame, scratch: Scratch, depth: int = DEPTH, share: float = 0.0, gain: float = GAIN, text: str = "text") -> Tree:
+    """The whole tree, for small corpora."""
+    out = tree(_rows(candidates(df, scratch, depth, LEAST, share, text).toArrow()), depth, gain)
+    scratch.drop("candidates")
     return out
 
 
+def ends(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The ROOT symbols before each of these places as a number, the nearest highest."""
+    code = np.zeros(len(at), np.int64)
+    for k in range(1, ROOT + 1):
+        code = (code << 8) | s[at - k]
+    return code
+
+
+def learn_parts(df: DataFrame, scratch: Scratch, depth: int = DEPTH, gain: float = GAIN, text: str = "text", part: int = PART) -> tuple[np.ndarray, list]:
+    """(the least ends() of each part; its packed tree, broadcast)."""
+    spark = df.sparkSession
+    found = candidates(df, scratch, depth, LEAST, 0.0, text)
+    short = spark.sparkContext.broadcast(_rows(found.filter(F.col("d") < ROOT).toArrow()))
+    long = found.filter(F.col("d") >= ROOT).withColumn("code", F.expr(" | ".join(f"shiftleft(shiftright(ctx, {8 * k}) & 255L, {8 * (ROOT - 1 - k)})" for k in range(ROOT))))
+    count = long.groupBy("code").count().toArrow().sort_by("code")
+    code, count = count.column(0).to_numpy(), count.column(1).to_numpy()
+    if not len(code):
+        scratch.drop("candidates")
+        return np.zeros(1, np.int64), [spark.sparkContext.broadcast(tree(short.value, depth, gain).packed())]
+    _, at = np.unique((np.cumsum(count) - count) // part, return_index=True)
+    bounds = code[at]
+    bounds[0] = 0
+    of = spark.createDataFrame(pa.table({"code": code, "part": np.searchsorted(bounds, code, "right") - 1}))
+
+    def build(t: pa.Table) -> pa.Table:
+        model = tree(short.value + _rows(t), depth, gain)
+        return pa.table({"part": t.column("part").slice(0, 1), "model": pa.array([pickle.dumps(model.packed())], pa.binary())})
+
+    models = scratch.keep(long.join(F.broadcast(of), "code").groupBy("part").applyInArrow(build, "part long, model binary"), "model")
+    sent = [spark.sparkContext.broadcast(pickle.loads(models.filter(F.col("part") == p).first()["model"])) for p in range(len(bounds))]
+    scratch.drop("candidates", "model")
+    return bounds, sent
+
+
+class _Held:
+    """Texts that wait to be held against the parts of the model, with the columns that go out with their scores."""
+
+    def __init__(self, bounds: np.ndarray, parts: list, depth: int = DEPTH):
+        self.bounds, self.parts, self.depth, self.size = bounds, parts, depth, 0
+        self.texts: list[tuple] = []
+
+    def add(self, w: Words, rows: int, out) -> None:
+        s, row = symbols(w, rows, self.depth)
+        at = events(row, self.depth)
+        part = (np.searchsorted(self.bounds, ends(s, at), "right") - 1).astype(np.int16 if len(self.parts) < 1 << 15 else np.int32)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(len(self.parts) + 1))
+        at = at[order].astype(np.int32)
+        self.texts.append((s, row[at].astype(np.int32), at, cut, rows, out))
+        self.size += len(s)
+
+    def scores(self) -> Iterator[tuple[np.ndarray, object]]:
+        total = [np.zeros(x[4]) for x in self.texts]
+        for p, b in enumerate(self.parts):
+            if not any(x[3][p] < x[3][p + 1] for x in self.texts):
+                continue
+            model = unpacked(b.value)
+            if len(self.parts) > 1:
+                vars(b).pop("_value", None)  # read again where it is needed again
+            for (s, row, at, cut, rows, _), to in zip(self.texts, total, strict=True):
+                here = slice(cut[p], cut[p + 1])
+                to += np.bincount(row[here], weights=model.logs(s, at[here].astype(np.int64)), minlength=rows)
+            del model
+        yield from zip(total, [x[5] for x in self.texts], strict=True)
+        self.texts, self.size = [], 0
+
+
 def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, common: float = COMMON) -> DataFrame:
     """key, the columns in carry, n_tokens, n_known, train_tokens, base_score and score of each row of df."""
     spark = df.sparkSession
@@ -186,13 +303,20 @@ def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id"
     kinds, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     top = counts.filter(F.col("n") >= max(1.0, common * total)).toArrow()
     at = np.argsort(top.column(0).to_numpy(), kind="stable")
-    sent = spark.sparkContext.broadcast((top.column(0).to_numpy()[at], top.column(1).to_numpy()[at], learn(train, scratch, text=text)))
+    sent = spark.sparkContext.broadcast((top.column(0).to_numpy()[at], top.column(1).to_numpy()[at]))
+    bounds, parts = learn_parts(train, scratch, text=text)
     below = total + kinds + 1
     base = df.select(key, *carry, text)
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ns, model = sent.value
+        hashes, ns = sent.value
+        held = _Held(bounds, parts)
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            for total, columns in held.scores():
+                yield pa.RecordBatch.from_arrays([*columns[:-1], pa.array(total), columns[-1]], [key, *carry, *(f.name for f in new)])
+
         for b in batches:
             for first, buf, offsets in chunks(b.column(len(carry) + 1)):
                 rows = len(offsets) - 1
@@ -207,17 +331,20 @@ def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id"
                 rare = np.flatnonzero(~here)
                 rare = rare[np.argsort(row[rare], kind="stable")]
                 cut = np.append(0, np.cumsum(np.bincount(row[rare], minlength=rows)))
-                yield pa.RecordBatch.from_arrays(
+                held.add(
+                    w,
+                    rows,
                     [b.column(i).slice(first, rows) for i in range(len(carry) + 1)]
                     + [
                         pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
                         pa.array(np.bincount(row, weights=here, minlength=rows).astype(np.int64)),
                         pa.array(np.bincount(row, weights=one, minlength=rows)),
-                        pa.array(model.score(*symbols(w, rows, model.depth), rows)),
                         pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(different[at[rare]])),
                     ],
-                    [key, *carry, *(f.name for f in new)],
                 )
+                if held.size > HOLD:
+                    yield from scored()
+        yield from scored()
 
     scored = base.mapInArrow(run, T.StructType([*base.schema.fields[:-1], *new]))
     scored = scratch.keep(scored.withColumn("at", F.monotonically_increasing_id()), "scored")
