@@ -28,21 +28,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests, one machine) a local one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir; only where that is unset, and driver and executors are one machine, a local one is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or "file://" + tempfile.mkdtemp(prefix="weftcrawl-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="weftcrawl-")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
 class Scratch:
-    """Tables in the shared folder that cut lineage: a lost executor costs a reread, never a recomputation from the start."""
+    """Tables in the shared folder that cut lineage: a lost executor costs a reread, never a recomputation from the start.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    A folder without a name of its own goes when the application ends; one with a name stays, so that later runs find it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
+        self.spark, self.root = spark, folder or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if not folder:
+            p, fs = self._at(self.root)
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
+
+    def _at(self, path: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -52,7 +63,14 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
-        jvm = self.spark._jvm
         for table in tables:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            p, fs = self._at(self.path(table))
+            fs.delete(p, True)
+
+    def has(self, table: str) -> bool:
+        p, fs = self._at(f"{self.path(table)}/_SUCCESS")
+        return fs.exists(p)
+
+    def spent(self) -> None:
+        """Shuffle files that nothing refers to go once the driver's collector has seen it; after a large shuffle it is asked to look."""
+        self.spark._jvm.System.gc()
