@@ -3,22 +3,28 @@
 A document's set are the hashes of its different word n-grams (64 bits; of the whole sequence where words are fewer). Sets of
 near sizes form bands: the sizes from l to l / similarity. Two similar sets, the larger one in a band, differ in at most k
 elements, k following from the band. The domain is cut into n1 first-level partitions, so that in one of them the sets differ in
-at most k2 = k // n1 elements, and each of these into n2 second-level partitions; for each subset of n2 - k2 of those, the
-elements in it make one signature. Similar sets share a signature. n1, n2 and k2 are the cheapest of which a signature covers
-LEAST elements on average.
-
-Equal sets are one node. Nodes that share a signature are a bucket. In the first round each bucket is put into a random order
-of its own and each node is paired with the one before it, so that a node meets many partners and groups of near copies come
-together. Then, once the pairs that are left and cross components are at most TIMES the bucket rows, they are all held against
-each other; until then, in each round a bucket's node with the most company is its pivot, is paired with those of the bucket
-that are not known to be in its component, and leaves. So every similar pair is either made or within one component already,
-and the work is linear in the buckets in each round, whatever their size.
-
-A pair is compared exactly unless the parities of its sets' elements over BITS cells differ in more places than similar sets
-differ in elements (each element that only one set has flips one parity). Of the pairs that are left, those of each node with
-its busiest partner are compared first, and the others only where they still cross components.
-
-Null texts and texts without words have no set and are linked with nothing. Rows with equal keys count as one document.
+at most k2 elements, and each of these into n2 second-level partitions; for each subset of n2 - k2 of those, the elements in it
+make one signature. Similar sets share a signature. n1, n2 and k2 >= 1 are the cheapest of which a signature covers LEAST
+elements on average.
+
+A signature without elements would be shared by all sets that have none in its cells, however unlike they are, so it is not
+made. That loses nothing: n1 is larger than the pigeonhole needs, and if a set's partitions with such a signature are no more
+than what is to spare, one of the others is good for each similar set. A set that has more of them (one in a hundred) is also
+cut by the next of SEEDS hashes; two similar sets that both have are found there. Only by the last hash are all made.
+
+Equal sets are one node, and nodes that share a signature are a bucket. In a bucket each node is paired with the least one; each
+node's pair of the most buckets is compared, which brings groups of near copies together. Then, within buckets that hold several
+components, all pairs across components are looked at where they lie, by the parities of their sets over BITS cells: each
+element that only one set has flips one parity, so sets that differ in more parities than similar ones differ in elements are
+not similar. While many pairs are left, each node's nearest is compared; then all of them. Buckets of more than BLOCK nodes are
+cut into blocks, and each two blocks are looked at by a task of their own. So a pair becomes a row only if its parities allow,
+and in dense groups only while it joins components. Each pair that is left is compared exactly.
+
+Null and empty texts and those without words have no set and are linked with nothing. Very long texts are whole; they need about
+60 bytes of memory for each of theirs. Equal texts and texts with equal sets are linked at every similarity. A key that occurs
+more than once names several documents, and links none of them; each has the least key of its component. A row without a key
+links nothing; its component_id is that of a row with an equal set, or null. An empty table gives no rows. Of other columns none
+is read, whatever its name.
 """
 
 from __future__ import annotations
@@ -26,26 +32,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, exp
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch, ship
 from .common import chunks, mix, ngrams, words
-from .components import components
+from .components import contracted
 
-LEAST, TIMES, BITS = 5, 200, 512
-#: Columns of the parities, so that pairs are held against each other in generated code, some ten nanoseconds for each.
+LEAST, SEEDS, BITS = 5, 4, 512
+#: Columns of the parities.
 ODD = [f"o{i}" for i in range(BITS // 64)]
-#: Sets over MANY elements have their parities over WIDE cells too.
+#: Sets over MANY elements have their parities over WIDE cells too, for pairs that are left.
 MANY, WIDE = 1000, 4096
+#: Signatures that a task holds before it deals them out; those that occur more than HOT times among them go to several tasks.
+HELD, HOT = 1 << 21, 1000
+#: Signatures and bucket rows of a task, and nodes of a bucket that are looked at together.
+SIGNED, ROWS, BLOCK = 1 << 21, 1 << 17, 4096
 #: Candidates up to this number are sent to the executors to pick their texts; more are joined. Equal sets that a task remembers.
 SENT, SEEN = 500_000, 200_000
+#: Rounds of nearest pairs, at most.
+ROUNDS = 4
 
 
 class Similarity(NamedTuple):
@@ -86,12 +98,22 @@ def fingerprints(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 
 class Band(NamedTuple):
+    most: int
     k: int
     n1: int
     n2: int
     k2: int
 
 
+def _beyond(mean: float, most: int) -> float:
+    """The probability that a Poisson variable is more than `most`."""
+    p = total = exp(-mean)
+    for i in range(1, most + 1):
+        p *= mean / i
+        total += p
+    return max(0.0, 1 - total)
+
+
 @lru_cache(8)
 def bands(s: Similarity, upto: int) -> tuple[np.ndarray, tuple[Band, ...]]:
     """(the least size of each band, and one beyond the last; the bands) for sets of up to `upto` elements, and one band beyond theirs."""
@@ -100,11 +122,15 @@ def bands(s: Similarity, upto: int) -> tuple[np.ndarray, tuple[Band, ...]]:
         most = least[-1] * s.den // s.num
         k = 2 * most * (s.den - s.num) // (s.den + s.num)
         choices = []
-        for k2 in range(3):
-            n1 = k // (k2 + 1) + 1
-            for n2 in range(k2 + 1, k2 + 5):
-                covers = most * (n2 - k2) / (n1 * n2)
-                choices.append((covers < LEAST, n1 * comb(n2, k2) if covers >= LEAST else -covers, Band(k, n1, n2, k2)))
+        for k2 in (1, 2):
+            for n2 in range(k2 + 2, k2 + 5):
+                for spare in range(200):
+                    n1 = k // (k2 + 1) + 1 + spare
+                    covers = most * (n2 - k2) / (n1 * n2)
+                    again = min(0.9, _beyond(n1 * min(1.0, comb(n2, k2) * exp(-covers)), spare))
+                    choices.append((covers < LEAST, n1 * comb(n2, k2) / (1 - again) if covers >= LEAST else -covers, Band(most, k, n1, n2, k2)))
+                    if again < 1e-3:
+                        break
         found.append(min(choices)[2])
         least.append(most + 1)
     return np.array(least), tuple(found)
@@ -114,38 +140,58 @@ def signatures(row: np.ndarray, g: np.ndarray, n: np.ndarray, s: Similarity) ->
     """(row, signature): of each set for its own band, where it may be the larger one, and for the next."""
     least, params = bands(s, 1 << int(n.max(initial=1)).bit_length())
     own = np.searchsorted(least, n, "right") - 1
-    rows_out, sigs = [], []
-    spread, value = mix(g ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(32), mix(g)
+    rows_out, sigs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    value = mix(g)
     for up in (0, 1):
         band = own + up
-        k, n1, n2, k2 = (np.array([b[i] for b in params])[band] for i in range(4))
-        cells = np.where((n > 0) & (k > 0), n1 * n2, 0)
-        if not cells.any():
-            continue
-        base = np.cumsum(cells) - cells
-        used = cells[row] > 0
-        r = row[used]
-        cell = base[r] + ((spread[used] * cells[r].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        acc = np.zeros(int(cells.sum()), np.uint64)
-        with np.errstate(over="ignore"):
-            np.add.at(acc, cell, value[used])
-            for a, b in sorted(set(zip(n2[cells > 0].tolist(), k2[cells > 0].tolist(), strict=True))):
-                mine = np.flatnonzero((cells > 0) & (n2 == a) & (k2 == b))
-                firsts = n1[mine]
-                at = np.repeat(base[mine] - a * (np.cumsum(firsts) - firsts), firsts) + a * np.arange(int(firsts.sum()))
-                part = np.repeat(band[mine], firsts) * (1 << 32) + (np.arange(int(firsts.sum())) - np.repeat(np.cumsum(firsts) - firsts, firsts))
-                owner = np.repeat(mine, firsts)
-                for c, subset in enumerate(combinations(range(a), a - b)):
-                    total = np.zeros(len(at), np.uint64)
-                    for j in subset:
-                        total += acc[at + j]
-                    sigs.append(mix(total ^ mix(part.astype(np.uint64) * np.uint64(64) + np.uint64(c))))
-                    rows_out.append(owner)
-    if not sigs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        most, k, n1, n2, k2 = np.array(params)[band].T
+        partner = np.minimum(most, n * s.den // s.num)
+        bad = (n + partner) * (s.den - s.num) // (s.den + s.num) // (k2 + 1)
+        todo = (n > 0) & (k > 0) & (partner >= least[band])
+        for seed in range(SEEDS):
+            cells = np.where(todo, n1 * n2, 0)
+            if not cells.any():
+                break
+            base = np.cumsum(cells) - cells
+            used = todo[row]
+            r = row[used]
+            spread = mix(g[used] ^ mix(np.array([0x1F83D9AB + seed], np.uint64))) >> np.uint64(32)
+            cell = base[r] + ((spread * cells[r].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            acc = np.zeros(int(cells.sum()), np.uint64)
+            count = np.bincount(cell, minlength=len(acc))
+            thin = np.zeros(len(n), np.int64)
+            with np.errstate(over="ignore"):
+                np.add.at(acc, cell, value[used])
+                for a, b in sorted(set(zip(n2[todo].tolist(), k2[todo].tolist(), strict=True))):
+                    mine = np.flatnonzero(todo & (n2 == a) & (k2 == b))
+                    firsts = n1[mine]
+                    place = np.arange(int(firsts.sum())) - np.repeat(np.cumsum(firsts) - firsts, firsts)
+                    owner = np.repeat(mine, firsts)
+                    at = base[owner] + a * place
+                    part = mix(band[owner].astype(np.uint64) * np.uint64(SEEDS) + np.uint64(seed)) + place.astype(np.uint64) * np.uint64(64)
+                    lacks = np.zeros(len(at), bool)
+                    for c, subset in enumerate(combinations(range(a), a - b)):
+                        total, size = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
+                        for j in subset:
+                            total += acc[at + j]
+                            size += count[at + j]
+                        lacks |= size == 0
+                        made = (size > 0) | (seed == SEEDS - 1)
+                        sigs.append(mix(total ^ mix(part + np.uint64(c)))[made])
+                        rows_out.append(owner[made])
+                    thin += np.bincount(owner[lacks], minlength=len(n))
+            todo &= thin >= n1 - bad
     return np.concatenate(rows_out), np.concatenate(sigs).astype(np.int64)
 
 
+def _expected(n: np.ndarray, s: Similarity) -> np.ndarray:
+    """The number of signatures of sets of these sizes, about."""
+    least, params = bands(s, 1 << int(n.max(initial=1)).bit_length())
+    each = np.array([b.n1 * comb(b.n2, b.k2) if b.k else 0 for b in params])
+    own = np.searchsorted(least, n, "right") - 1
+    return np.where(n > 0, each[own] + each[own + 1], 0)
+
+
 def parities(row: np.ndarray, g: np.ndarray, rows: int, bits: int) -> np.ndarray:
     """(rows, bits // 64) of int64: the parity of the number of elements in each cell."""
     cell = (mix(g ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(bits)).astype(np.int64)
@@ -162,7 +208,7 @@ def _lists(x: np.ndarray, at: np.ndarray, rows: int) -> pa.ListArray:
 
 
 def _documents(df: DataFrame, key: str, text: str, s: Similarity) -> DataFrame:
-    """(key, n, sid, o0 to o7, wide): size, fingerprint and parities of each document's set."""
+    """(key, n, sid, signs, o0 to o7, wide): size, fingerprint, signatures and parities of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,16 +219,44 @@ def _documents(df: DataFrame, key: str, text: str, s: Similarity) -> DataFrame:
                 large = np.flatnonzero(n > MANY)
                 of = np.isin(row, large)
                 wide = _lists(parities(np.searchsorted(large, row[of]), g[of], len(large), WIDE), large, rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(n), pa.array(sid, mask=n == 0), *map(pa.array, parities(row, g, rows, BITS).T.copy()), wide], [key, "n", "sid", *ODD, "wide"])
-
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n long, sid long, {', '.join(o + ' long' for o in ODD)}, wide array<long>")
-
-
-def _signed(df: DataFrame, text: str, s: Similarity) -> DataFrame:
-    """(sig, sid) of each different set; a task gives an equal set again only after SEEN others."""
+                odd = parities(row, g, rows, BITS).T.copy()
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, rows), pa.array(n), pa.array(sid, mask=n == 0), pa.array(_expected(n, s)), *map(pa.array, odd), wide], ["key", "n", "sid", "signs", *ODD, "wide"])
+
+    shape = f"key {df.schema[key].dataType.simpleString()}, n long, sid long, signs long, {', '.join(o + ' long' for o in ODD)}, wide array<long>"
+    return df.select(F.col(key), F.col(text)).mapInArrow(run, shape)
+
+
+def _dealt(df: DataFrame, text: str, s: Similarity, parts: int) -> DataFrame:
+    """(part, sigs, sids): runs of signatures and of their sets' fingerprints, for `parts` tasks. A set comes again only after SEEN others."""
+
+    often, most = HOT, HELD
+
+    def deal(sig: np.ndarray, sid: np.ndarray, turn: int) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(sig, kind="stable")
+        sig, sid = sig[order], sid[order]
+        at = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
+        size = np.diff(at)
+        part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        if (size > often).any():
+            hot = np.repeat(size > often, size)
+            one = at[:-1][size > often]
+            home = part[one]
+            part[hot] = mix(sig[hot] ^ mix(np.full(1, turn, np.uint64))) % np.uint64(parts)
+            sig, sid, part = np.append(sig, sig[one]), np.append(sid, np.minimum.reduceat(sid, at[:-1])[size > often]), np.append(part, home)
+            order = np.argsort(part, kind="stable")
+            sig, sid, part = sig[order], sid[order], part[order]
+        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        places = pa.array(cut * 8, pa.int64())
+        columns = [pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, places.buffers()[1], pa.py_buffer(x.tobytes())]) for x in (sig, sid)]
+        for first in range(0, len(cut) - 1, 32):
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]][first : first + 32].astype(np.int32)), *(c.slice(first, 32).cast(pa.binary()) for c in columns)], ["part", "sigs", "sids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        turn = (task.partitionId() if task else 0) << 32
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
         for b in batches:
             for _, buf, offsets in chunks(b.column(0)):
                 rows = len(offsets) - 1
@@ -198,9 +272,50 @@ def _signed(df: DataFrame, text: str, s: Similarity) -> DataFrame:
                         fresh[i] = True
                 keep = fresh[row]
                 owner, sig = signatures(row[keep], g[keep], np.where(fresh, n, 0), s)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sid[owner])], ["sig", "sid"])
+                held.append((sig.view(np.uint64), sid[owner]))
+                count += len(sig)
+                if count >= most:
+                    yield from deal(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), turn)
+                    held, count, turn = [], 0, turn + 1
+        if count:
+            yield from deal(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]), turn)
+        pa.default_memory_pool().release_unused()
+
+    return df.select(F.col(text)).mapInArrow(run, "part int, sigs binary, sids binary")
+
+
+def _buckets(dealt: DataFrame, parts: int) -> DataFrame:
+    """(sig, sid, least): the sets that share a signature, and the least of those that the task has."""
 
-    return df.select(text).mapInArrow(run, "sig long, sid long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs, sids = [], []
+        for b in batches:
+            for x, y in zip(b.column(1), b.column(2), strict=True):
+                sigs.append(np.frombuffer(x.as_buffer(), np.int64))
+                sids.append(np.frombuffer(y.as_buffer(), np.int64))
+        if not sigs:
+            return
+        sig, sid = np.concatenate(sigs), np.concatenate(sids)
+        sigs.clear()
+        sids.clear()
+        order = np.argsort(sig, kind="stable")
+        sig, sid = sig[order], sid[order]
+        same = sig[1:] == sig[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        sig, sid = sig[keep], sid[keep]
+        order = np.lexsort((sid, sig))
+        sig, sid = sig[order], sid[order]
+        keep = np.append(True, (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1]))[: len(sig)]
+        sig, sid = sig[keep], sid[keep]
+        at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
+        size = np.diff(np.append(at, len(sig)))
+        least = np.repeat(sid[at], size)
+        keep = np.repeat(size > 1, size)
+        sig, sid, least = sig[keep], sid[keep], least[keep]
+        for first in range(0, len(sig), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[first : first + 100_000]) for x in (sig, sid, least)], ["sig", "sid", "least"])
+
+    return dealt.repartitionById(parts, "part").mapInArrow(run, "sig long, sid long, least long")
 
 
 def _elements(df: DataFrame, text: str, s: Similarity) -> DataFrame:
@@ -218,39 +333,6 @@ def _elements(df: DataFrame, text: str, s: Similarity) -> DataFrame:
     return df.select("want", text).mapInArrow(run, "sid long, want long, g array<long>")
 
 
-def _verified(pairs: DataFrame, elements: DataFrame, s: Similarity) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
-    a = elements.select(F.col("sid").alias("u"), F.col("g").alias("gu"))
-    b = elements.select(F.col("sid").alias("v"), F.col("g").alias("gv"))
-    both = F.size(F.array_intersect("gu", "gv"))
-    return pairs.join(a, "u").join(b, "v").withColumn("both", both).filter(s.den * F.col("both") >= s.num * (F.size("gu") + F.size("gv") - F.col("both"))).select("u", "v")
-
-
-def linked(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
-    ship(df.sparkSession)
-    docs = scratch.keep(_documents(df, key, text, s), "documents")
-    member = W.partitionBy("sig")
-    bucket = _signed(df, text, s).withColumns({"lo": F.min("sid").over(member), "hi": F.max("sid").over(member)})
-    bucket = scratch.keep(bucket.filter("lo < hi").select("sig", "sid").distinct(), "buckets")
-    first = docs.filter("n > 0").groupBy("sid").agg(F.min(key).alias(key))
-    known = None
-    if not bucket.isEmpty():
-        company = bucket.groupBy("sid").agg(F.count("*").alias("company"))
-        nodes = docs.filter(F.col(key).isNotNull()).join(first, ["sid", key], "left_semi").dropDuplicates(["sid"])
-        nodes = scratch.keep(company.join(nodes, "sid").select("sid", "company", "n", *ODD, "wide", key), "nodes")
-        known = _rounds(bucket, nodes, df.select(key, text), s, scratch, key, text)
-        scratch.drop("nodes")
-    scratch.drop("buckets")
-    if known is None:
-        named = first.withColumnRenamed(key, "component_id")
-    else:
-        rooted = first.join(known.withColumnRenamed("u", "sid"), "sid", "left").select("sid", F.coalesce("v", "sid").alias("root"), F.col(key))
-        rooted = scratch.keep(rooted, "rooted")
-        named = rooted.join(rooted.groupBy("root").agg(F.min(key).alias("component_id")), "root").select("sid", "component_id")
-    return docs.select(key, "n", "sid").join(named, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
-
-
 def _flips(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}{o} ^ {b}{o})" for o in ODD)
 
@@ -261,88 +343,181 @@ def _near(m: str, n: str, flips: str, s: Similarity) -> str:
     return f"({s.den} * least({m}, {n}) >= {s.num} * greatest({m}, {n}) AND {s.den + s.num} * {flips} <= {s.den - s.num} * ({m} + {n}))"
 
 
-class _Links:
-    """The links found so far, and the pairs that have been made."""
+def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
+    """(u, v, flips, more): pairs of nodes of a cell, in different components, that their parities allow.
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame, s: Similarity, scratch: Scratch, key: str, text: str):
-        self.nodes, self.texts, self.s, self.scratch, self.key, self.text = nodes, texts, s, scratch, key, text
-        self.found: list[DataFrame] = []
-        self.made: list[DataFrame] = []
-        self.known: DataFrame | None = None
-        self.step = 0
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Adds the links among pairs (u, v) to what is known."""
-        for t in self.made:
-            pairs = pairs.join(t, ["u", "v"], "left_anti")
-        wide = self.nodes.filter("wide IS NOT NULL").select("sid", "wide", "n")
-        pairs = pairs.distinct().join(wide.toDF("u", "a", "m"), "u", "left").join(wide.toDF("v", "b", "n"), "v", "left")
-        pairs = pairs.filter(f"a IS NULL OR b IS NULL OR {_near('m', 'n', 'aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)', self.s)}").select("u", "v")
-        pairs = self.scratch.keep(pairs, f"pairs-{len(self.made)}")
-        self.made.append(pairs)
-        ends = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).groupBy("sid").agg(F.count("*").alias("degree"))
-        ends = self.scratch.keep(ends.join(self.nodes.select("sid", self.key), "sid"), "ends")
-        count = ends.count()
-        if not count:
+    A task gives all of its pairs if whole, or if they are few beside its nodes; else each node's nearest only, and more is true.
+    df: (cell, block, single, sid, c, n, o0 to o7), all rows of a cell in one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches, None) if (batches := list(batches)) else None
+        if table is None or not len(table):
             return
-        want = ends.select(self.key, F.col("sid").alias("want"))
-        some = self.texts.join(F.broadcast(want) if count <= SENT else want, self.key)
-        elements = self.scratch.keep(_elements(some, self.text, self.s).filter("sid = want").dropDuplicates(["sid"]).drop("want"), "elements")
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        busiest = both.join(ends.select(F.col("sid").alias("v"), "degree"), "v").groupBy("u").agg(F.max(F.struct("degree", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-        busiest = self.scratch.keep(busiest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "busiest")
-        self._add(_verified(busiest, elements, self.s))
-        rest = pairs.join(busiest, ["u", "v"], "left_anti")
-        if self.known is not None:
-            rest = rest.join(self.known.select("u", F.col("v").alias("cu")), "u", "left").join(self.known.select(F.col("u").alias("v"), F.col("v").alias("cv")), "v", "left")
-            rest = rest.filter(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-        self._add(_verified(rest, elements, self.s))
-        self.scratch.drop("ends", "elements", "busiest")
-
-    def _add(self, links: DataFrame) -> None:
-        self.step += 1
-        self.found.append(self.scratch.keep(links, f"links-{self.step}"))
-        every = self.found[0]
-        for f in self.found[1:]:
-            every = every.unionByName(f)
-        self.known = components(every, self.scratch, f"components-{self.step}")
-
-
-def _rounds(bucket: DataFrame, nodes: DataFrame, texts: DataFrame, s: Similarity, scratch: Scratch, key: str, text: str) -> DataFrame | None:
-    """components() of all links."""
-    links, k = _Links(nodes, texts, s, scratch, key, text), 0
-    member = W.partitionBy("sig")
-
-    while True:
-        k += 1
+        cell, block, single, sid, c, n = (table[x].to_numpy() for x in ("cell", "block", "single", "sid", "c", "n"))
+        odd = np.stack([table[o].to_numpy() for o in ODD], 1).view(np.uint64)
+        ids, node, back = np.unique(sid, return_index=True, return_inverse=True)
+        odd, size = odd[node], n[node]
+        order = np.lexsort((mix((sid ^ cell).view(np.uint64)), cell))
+        cell, block, single, c, node = cell[order], block[order], single[order], c[order], back[order]
+        few = len(ids) if whole else len(ids) // 4
+        nearest, partner = np.full(len(ids), 1 << 40), np.zeros(len(ids), np.int64)
+        found, held, all_of_them = [np.zeros(0, np.int64)], 0, True
+        alive, d = np.arange(len(cell)), 0
+
+        def rows(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.nulls(len(pairs), pa.int64()), pa.array(np.zeros(len(pairs), bool))], ["u", "v", "flips", "more"])
+
+        while True:
+            d += 1
+            alive = alive[alive < len(cell) - d]
+            alive = alive[cell[alive] == cell[alive + d]]
+            if not len(alive):
+                break
+            for first in range(0, len(alive), 1 << 17):
+                x = alive[first : first + (1 << 17)]
+                x = x[(c[x] != c[x + d]) & (single[x] | (block[x] != block[x + d]))]
+                i, j = node[x], node[x + d]
+                ok = s.den * np.minimum(size[i], size[j]) >= s.num * np.maximum(size[i], size[j])
+                i, j = i[ok], j[ok]
+                flips = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64)
+                ok = (s.den + s.num) * flips <= (s.den - s.num) * (size[i] + size[j])
+                i, j, flips = i[ok], j[ok], flips[ok]
+                if not len(i):
+                    continue
+                if all_of_them:
+                    found.append(np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j)))
+                    held += len(found[-1])
+                    if held > 4 * few + (1 << 16):
+                        found = [np.unique(np.concatenate(found))]
+                        held = len(found[0])
+                        if whole and held > 1 << 20:
+                            yield rows(found[0])
+                            found, held = [found[0][:0]], 0
+                        elif not whole and held > few:
+                            found, all_of_them = [], False
+                if not whole:
+                    for a, b in ((i, j), (j, i)):
+                        least = np.lexsort((b, flips, a))
+                        a, b, f = a[least], b[least], flips[least]
+                        one = np.append(True, a[1:] != a[:-1])
+                        a, b, f = a[one], b[one], f[one]
+                        closer = f < nearest[a]
+                        nearest[a[closer]], partner[a[closer]] = f[closer], b[closer]
+        pairs = np.unique(np.concatenate(found)) if all_of_them else None
+        if pairs is not None and (whole or len(pairs) <= few):
+            yield rows(pairs)
+            return
+        have = np.flatnonzero(nearest < 1 << 40)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[have]), pa.array(ids[partner[have]]), pa.array(nearest[have]), pa.array(np.ones(len(have), bool))], ["u", "v", "flips", "more"])
+
+    return df.mapInArrow(run, "u long, v long, flips long, more boolean")
+
+
+class _Join:
+    """The links between nodes that are found so far, as known: (u, v), each node but the least of its component, and that."""
+
+    def __init__(self, docs: DataFrame, texts: DataFrame, s: Similarity, scratch: Scratch):
+        self.docs, self.texts, self.s, self.scratch = docs, texts, s, scratch
+        self.known: DataFrame | None = None
+        self.step, self.last = 0, ""
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.scratch.keep(df, f"{name}-{self.step}")
+
+    def run(self, bucket: DataFrame, first: DataFrame) -> DataFrame | None:
+        """known, of all links between the nodes of buckets (sig, sid, least)."""
+        nodes = self.docs.join(bucket.select("sid").distinct(), "sid", "left_semi").join(first, ["sid", "key"], "left_semi")
+        self.nodes = self.scratch.keep(nodes.dropDuplicates(["sid"]).select("sid", "key", "n", *ODD, "wide"), "nodes")
+        star = bucket.filter("sid <> least").groupBy("sid", "least").agg(F.count("*").alias("common"))
+        star = star.groupBy("sid").agg(F.max(F.struct("common", "least")).alias("best"))
+        self.compare(star.select(F.least("sid", "best.least").alias("u"), F.greatest("sid", "best.least").alias("v")))
+        bucket, last, whole = bucket.select("sig", "sid"), "buckets", False
+        while True:
+            self.step += 1
+            bucket = self.keep(self._open(bucket), "open")
+            self.scratch.drop(last)
+            last = f"open-{self.step}"
+            found = self.keep(self._pairs(bucket, whole), "found")
+            more = not found.filter("more").isEmpty()
+            nearest = found.filter("more").groupBy("u").agg(F.min(F.struct("flips", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+            pairs = found.filter("NOT more").select("u", "v").unionByName(nearest)
+            new = self.compare(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+            self.scratch.drop(f"found-{self.step}")
+            if not more:
+                self.scratch.drop(last, "nodes")
+                return self.known
+            whole = not new or self.step >= ROUNDS
+            bucket = bucket.select("sig", "sid")
+
+    def _open(self, bucket: DataFrame) -> DataFrame:
+        """(sig, sid, c, size): the rows of buckets that hold several components c, and the bucket's size."""
         now = bucket.withColumn("c", F.col("sid"))
-        if links.known is not None:
-            now = bucket.join(links.known.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
-            now = scratch.keep(now.withColumns({"lo": F.min("c").over(member), "hi": F.max("c").over(member)}).filter("lo < hi").drop("lo", "hi"), f"round-{k}")
-        cross = now.groupBy("sig", "c").count().groupBy("sig").agg(F.sum("count").alias("g"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        left, rows = cross.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2), F.sum("g")).first()
-        if not rows:
-            return links.known
-        full = now.join(nodes.drop(key, "wide"), "sid")
-        if k == 1:
-            before = F.lag(F.struct("sid", "n", "c", *ODD)).over(member.orderBy(F.xxhash64("sig", "sid")))
-            pairs = full.withColumn("top", before).filter("top IS NOT NULL AND sid <> top.sid").filter(F.expr(_near("n", "top.n", _flips("", "top."), s)))
-            links.compare(pairs.select(F.least("sid", "top.sid").alias("u"), F.greatest("sid", "top.sid").alias("v")))
-            continue
-        if left <= TIMES * rows:
-            a, b = full.alias("a"), full.alias("b")
-            pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.c") != F.col("b.c")) & F.expr(_near("a.n", "b.n", _flips("a.", "b."), s)))
-            links.compare(pairs.select(F.col("a.sid").alias("u"), F.col("b.sid").alias("v")))
-            return links.known
-        full = full.withColumn("top", F.max(F.struct("company", "sid", "n", "c", *ODD)).over(member))
-        pairs = full.filter("sid <> top.sid AND c <> top.c").filter(F.expr(_near("n", "top.n", _flips("", "top."), s)))
-        links.compare(pairs.select(F.least("sid", "top.sid").alias("u"), F.greatest("sid", "top.sid").alias("v")))
-        pivots = now.join(nodes.select("sid", "company"), "sid").groupBy("sig").agg(F.max(F.struct("company", "sid")).alias("top")).select("sig", F.col("top.sid").alias("sid"))
-        bucket = scratch.keep(now.select("sig", "sid").join(pivots, ["sig", "sid"], "left_anti"), f"left-{k}")
+        if self.known is not None:
+            now = bucket.join(self.known.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").select("sig", "sid", F.coalesce("root", "sid").alias("c"))
+        ends = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+        return now.join(ends.filter("lo < hi").select("sig", "size"), "sig")
+
+    def _pairs(self, bucket: DataFrame, whole: bool) -> DataFrame:
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = bucket.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid", "sig"), "blocks").cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cell = F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")))
+        rows = rows.select(cell.alias("cell"), "block", (F.col("block") == F.col("other")).alias("single"), "sid", "c").join(self.nodes.select("sid", "n", *ODD), "sid")
+        tasks = max(1, -(-bucket.count() // ROWS))
+        return _lookup(rows.repartition(tasks, "cell"), self.s, whole)
+
+    def compare(self, pairs: DataFrame) -> int:
+        """Adds the links among the pairs (u, v) to what is known; their number."""
+        side = self.nodes.select("sid", "n", *ODD, "wide")
+        a = side.select(F.col("sid").alias("u"), F.struct("n", *ODD, "wide").alias("a"))
+        b = side.select(F.col("sid").alias("v"), F.struct("n", *ODD, "wide").alias("b"))
+        wide = "aggregate(zip_with(a.wide, b.wide, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)"
+        pairs = pairs.join(a, "u").join(b, "v").filter(_near("a.n", "b.n", _flips("a.", "b."), self.s))
+        pairs = self.keep(pairs.filter(f"a.wide IS NULL OR b.wide IS NULL OR {_near('a.n', 'b.n', wide, self.s)}").select("u", "v"), "pairs")
+        ends = self.keep(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(self.nodes.select("sid", "key"), "sid"), "ends")
+        count = ends.count()
+        links = 0
+        if count:
+            want = ends.select("key", F.col("sid").alias("want"))
+            some = self.texts.join(F.broadcast(want) if count <= SENT else want, "key")
+            elements = self.keep(_elements(some, "text", self.s).filter("sid = want").dropDuplicates(["sid"]).drop("want"), "elements")
+            u, v = elements.select(F.col("sid").alias("u"), F.col("g").alias("gu")), elements.select(F.col("sid").alias("v"), F.col("g").alias("gv"))
+            both = pairs.join(u, "u").join(v, "v").select("u", "v", (F.size("gu") + F.size("gv")).alias("sum"), F.size(F.array_intersect("gu", "gv")).alias("both"))
+            found = self.keep(both.filter(f"{self.s.den} * both >= {self.s.num} * (sum - both)").select("u", "v"), "links")
+            links = found.count()
+            if links:
+                self.known = contracted(found, self.known, self.scratch, f"known-{self.step}")
+                if self.last:
+                    self.scratch.drop(self.last)
+                self.last = f"known-{self.step}"
+            self.scratch.drop(f"elements-{self.step}", f"links-{self.step}")
+        self.scratch.drop(f"pairs-{self.step}", f"ends-{self.step}")
+        return links
+
+
+def linked(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and component_id (the smallest key reachable by links) of each row."""
+    ship(df.sparkSession)
+    docs = scratch.keep(_documents(df, key, text, s), "documents")
+    parts = max(1, -(-(docs.agg(F.sum("signs")).first()[0] or 0) // SIGNED))
+    bucket = scratch.keep(_buckets(_dealt(df, text, s, parts), parts), "buckets")
+    scratch.spent()
+    first = docs.filter("n > 0").groupBy("sid").agg(F.min("key").alias("key"))
+    known = None if bucket.isEmpty() else _Join(docs, df.select(F.col(key).alias("key"), F.col(text).alias("text")), s, scratch).run(bucket, first)
+    if known is None:
+        named = first.withColumnRenamed("key", "component_id")
+    else:
+        rooted = first.join(known.withColumnRenamed("u", "sid"), "sid", "left").select("sid", F.coalesce("v", "sid").alias("root"), "key")
+        rooted = scratch.keep(rooted, "rooted")
+        named = rooted.join(rooted.groupBy("root").agg(F.min("key").alias("component_id")), "root").select("sid", "component_id")
+    out = docs.select("key", "n", "sid").join(named, "sid", "left")
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one document of each component, that with the smallest key. Rows without a key stay."""
     groups = linked(df, s, scratch, key, text)
     gone = scratch.keep(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
+    scratch.drop("documents", "rooted")
     return df.join(F.broadcast(gone) if gone.count() <= SENT else gone, key, "left_anti").select(*df.columns)
