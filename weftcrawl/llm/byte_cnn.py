@@ -5,8 +5,12 @@ text meets each filter once. Filters of several widths slide over a window; the
 ReLU, feeds a softmax. The network is trained in numpy with Adam on windows of labelled texts. A text's class probabilities
 are the means over its windows, weighted by their letters.
 
-The score is the probability of lang_pred. Null texts and texts without letters are `und` with score 0; so is every text
-where no labelled text was given. Repeated rows are predicted each.
+Training takes a bounded sample of windows, which the executors cut; the driver gets no text. Prediction holds TOGETHER windows
+at a time, however long a text is.
+
+The score is the probability of lang_pred. Null and empty texts and texts without letters are `und` with score 0; so is every
+text where no labelled text was given, as with an empty table. Of classes that are equally probable the first in order is
+given. Repeated rows are predicted each. A carried column named like a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -17,15 +21,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import ship
-from .common import LOWER, chunks
+from .common import LOWER, carried, chunks, mix
 
 WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4, 5), 12, 12
-#: Texts per class, windows per class and passes that training takes.
+#: Texts per class, windows per class (both about) and passes that training takes.
 TEXTS, WINDOWS, EPOCHS = 300, 3000, 8
 OVERLAP = max(WIDTHS) - 1
 #: Windows that are predicted at once.
@@ -62,32 +66,37 @@ class Net(NamedTuple):
         return z / z.sum(axis=1, keepdims=True)
 
 
-def windows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes (windows, WINDOW) with zeros after a text's end, row of each window) of every place of every text."""
+def places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each window begins, its row), for windows over every place of every text."""
     size = np.diff(offsets)
     step = WINDOW - OVERLAP
     n = np.where(size > 0, np.maximum(1, -(-(size - OVERLAP) // step)), 0)
     row = np.repeat(np.arange(len(size)), n)
-    start = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step
+    return offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step, row
+
+
+def cut(buf: np.ndarray, offsets: np.ndarray, start: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Bytes (windows, WINDOW) with A-Z lowered, and zeros after a text's end."""
+    if not len(start):
+        return np.zeros((0, WINDOW), np.uint8)
     at = start[:, None] + np.arange(WINDOW)
     inside = at < offsets[1:][row][:, None]
-    return np.where(inside, LOWER[buf][np.minimum(at, len(buf) - 1)] if len(buf) else 0, 0).astype(np.uint8), row
+    return np.where(inside, LOWER[buf[np.minimum(at, len(buf) - 1)]], 0).astype(np.uint8)
+
+
+def windows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all windows, row of each)."""
+    start, row = places(offsets)
+    return cut(buf, offsets, start, row), row
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7) -> Net | None:
+def fit(x: np.ndarray, labels: list[str], seed: int = 7) -> Net | None:
+    """Of windows (windows, WINDOW) and the class of each."""
     classes = sorted(set(labels))
     if not classes:
         return None
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for k, c in enumerate(classes):
-        own = pa.array([t for t, y in zip(texts, labels, strict=True) if y == c])
-        w = np.concatenate([windows(buf, offsets)[0] for _, buf, offsets in chunks(own)])
-        w = w[LETTER[w].mean(axis=1) > 0.3] if (LETTER[w].mean(axis=1) > 0.3).any() else w
-        w = w[np.sort(rng.permutation(len(w))[:WINDOWS])]
-        xs.append(w)
-        ys.append(np.full(len(w), k))
-    x, y = np.concatenate(xs), np.concatenate(ys)
+    y = np.array([classes.index(c) for c in labels])
     weight = (len(y) / (len(classes) * np.bincount(y, minlength=len(classes)).clip(1)))[y].astype(np.float32)
     features = len(WIDTHS) * FILTERS
 
@@ -145,15 +154,42 @@ def _gradient(p: list[np.ndarray], w: np.ndarray, y: np.ndarray, weight: np.ndar
     return [de, *df, dh.sum(axis=0), r.T @ z, z.sum(axis=0)]
 
 
-def sample(df: DataFrame, learn: Column, text: str, label: str, key: str, texts: int = TEXTS) -> tuple[list[str], list[str]]:
-    """About `texts` labelled rows of each class, by a hash of the key: the bounded sample that the network is fitted on."""
-    df = df.filter(learn & F.col(label).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("y"), F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)).alias("h"))
+def sample(df: DataFrame, learn: Column, text: str, label: str, key: str, texts: int = TEXTS, most: int = WINDOWS) -> tuple[np.ndarray, list[str]]:
+    """(windows, classes): about `most` windows with letters of about `texts` labelled rows of each class, all by hashes of the key
+    and the window's number: the bounded sample that the network is fitted on."""
+    ship(df.sparkSession)
+    h = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
+    df = df.filter(learn & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("y"), h.alias("h"))
     counts = df.groupBy("y").count().collect()
     if not counts:
-        return [], []
-    share = F.coalesce(*(F.when(F.col("y") == r["y"], F.lit(1_000_000.0 * texts / r["count"])) for r in counts), F.lit(0.0))
-    rows = df.filter(F.col("h") < share).orderBy("h", "y", "t").limit(2 * texts * len(counts)).select("t", "y").collect()
-    return [r["t"] for r in rows], [r["y"] for r in rows]
+        return np.zeros((0, WINDOW), np.uint8), []
+    some = df.filter(F.col("h") < F.coalesce(*(F.when(F.col("y") == r["y"], F.lit(1_000_000.0 * texts / r["count"])) for r in counts), F.lit(0.0)))
+    # windows of a text at most: what its share of `most` would be were half of the texts shorter
+    each = max(1, 2 * most // texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, buf, offsets in chunks(b.column(0)):
+                start, row = places(offsets)
+                seed = b.column(2).slice(first, len(offsets) - 1).to_numpy().astype(np.uint64)[row]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                order = mix(mix(seed + np.uint64(1)) ^ nth.astype(np.uint64)) >> np.uint64(1)
+                place = np.lexsort((order, row))
+                rank = np.empty(len(row), np.int64)
+                rank[place] = np.arange(len(row)) - np.searchsorted(row, row[place])
+                at = np.flatnonzero(rank < each)
+                w = cut(buf, offsets, start[at], row[at])
+                lettered = LETTER[w].mean(axis=1) > 0.3
+                if not lettered.any():
+                    continue
+                at, w = at[lettered], w[lettered]
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(first + row[at])), pa.array(order[at].astype(np.int64)), pa.array([x.tobytes() for x in w], pa.binary())], ["y", "o", "w"])
+
+    found = some.select("t", "y", "h").mapInArrow(run, "y string, o long, w binary")
+    best = found.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy("o", "w"))).filter(F.col("nth") <= most).orderBy("y", "nth").select("y", "w").toArrow()
+    if not len(best):
+        return np.zeros((0, WINDOW), np.uint8), []
+    return np.stack([np.frombuffer(w, np.uint8) for w in best.column("w").to_pylist()]), best.column("y").to_pylist()
 
 
 def predict(df: DataFrame, net: Net | None, carry: list[str], text: str = "text") -> DataFrame:
@@ -161,7 +197,8 @@ def predict(df: DataFrame, net: Net | None, carry: list[str], text: str = "text"
     spark = df.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(net)
-    df = df.select(*carry, text)
+    carry = carried(carry, ["lang_pred", "score"])
+    df = df.select(*carry, F.col(text).alias("__text"))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,15 +209,22 @@ def predict(df: DataFrame, net: Net | None, carry: list[str], text: str = "text"
                 rows = len(offsets) - 1
                 lang, score = np.full(rows, "und", object), np.zeros(rows)
                 if net is not None and len(buf):
-                    w, row = windows(buf, offsets)
-                    letters = LETTER[w].sum(axis=1).astype(float)
-                    total = np.bincount(row, weights=letters, minlength=rows)
-                    prob = np.concatenate([net.predict(w[k : k + TOGETHER].T) for k in range(0, len(w), TOGETHER)]) * letters[:, None]
-                    mean = np.stack([np.bincount(row, weights=prob[:, k], minlength=rows) for k in range(len(net.classes))], axis=1) / np.maximum(total, 1)[:, None]
+                    start, of = places(offsets)
+                    total, ascii_letters, prob = np.zeros(rows), np.zeros(rows), np.zeros((rows, len(net.classes)))
+                    for k in range(0, len(start), TOGETHER):
+                        row = of[k : k + TOGETHER]
+                        w = cut(buf, offsets, start[k : k + TOGETHER], row)
+                        letters = LETTER[w].sum(axis=1).astype(float)
+                        low, span = row[0], row[-1] - row[0] + 1
+                        total[low : low + span] += np.bincount(row - low, weights=letters, minlength=span)
+                        ascii_letters[low : low + span] += np.bincount(row - low, weights=(LETTER[w] & (w < 0x80)).sum(axis=1), minlength=span)
+                        p = net.predict(w.T) * letters[:, None]
+                        for c in range(len(net.classes)):
+                            prob[low : low + span, c] += np.bincount(row - low, weights=p[:, c], minlength=span)
+                    mean = prob / np.maximum(total, 1)[:, None]
                     best = mean.argmax(axis=1)
-                    ascii_letter = np.bincount(row, weights=(LETTER[w] & (w < 0x80)).sum(axis=1), minlength=rows) > 0
                     for k in np.flatnonzero(total > 0).tolist():
-                        if ascii_letter[k] or _ANY_LETTER.search(column[first + k].as_py()):
+                        if ascii_letters[k] or _ANY_LETTER.search(column[first + k].as_py()):
                             lang[k], score[k] = net.classes[best[k]], min(1.0, float(mean[k, best[k]]))
                 yield pa.RecordBatch.from_arrays([b.column(i).slice(first, rows) for i in range(len(carry))] + [pa.array(lang.tolist(), pa.string()), pa.array(score)], schema.names)
 

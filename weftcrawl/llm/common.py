@@ -10,7 +10,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that are cut at once: bounds what the working arrays need (about 60 bytes for each), but for longer single texts.
@@ -44,6 +44,18 @@ def sampled(df: DataFrame, n: int, *key: str) -> DataFrame:
     return df.withColumn("__h", h).filter(F.col("__h") < F.lit(min(1.0, 2 * n / max(1, total)) * (1 << 30))).orderBy("__h", *key).limit(n).drop("__h")
 
 
+def within(df: DataFrame, text: str, budget: int) -> list[str]:
+    """Whole texts of a few rows, the shortest first, as many as have `budget` bytes together."""
+    size = F.octet_length(text)
+    sums = df.filter(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.sum(size).over(Window.orderBy(size, F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    return [r["t"] for r in sums.filter(F.col("upto") <= budget).collect()]
+
+
+def carried(carry: list[str] | None, new: list[str]) -> list[str]:
+    """The columns to carry; one that is named like a new column gives way to it."""
+    return [c for c in dict.fromkeys(carry or []) if c not in new]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer."""
     with np.errstate(over="ignore"):

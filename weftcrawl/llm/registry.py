@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.runtime import Scratch
+from ..plans.runtime import Scratch, ship
 from . import bpe, byte_cnn, decontaminate, partenum, quality, secrets, suffix_tree, tokenfile, toxicity, warc
 from .common import doc_remainder, read
 
@@ -19,8 +19,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
-    texts, toxic, weight = toxicity.sample(docs, read(spark, sf_dir, "labels"))
-    return toxicity.fit(texts, toxicity.grades(texts, toxic, weight), weight)
+    ship(spark)
+    scratch = Scratch(spark, "toxicity")
+    model = toxicity.learn(toxicity.sample(docs, read(spark, sf_dir, "labels"), scratch))
+    scratch.drop("sample")
+    return model
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ is sent on its own; a task holds HOLD bytes of text against one part after the o
 The base score is that of words with add-one smoothing. Counts of words that make up COMMON of the tokens (at most 1 / COMMON
 words) are sent to the executors; the other words meet their counts in a join.
 
-Null and empty texts are one end. Repeated rows are scored each and all count in training; null ids count as the empty text.
+Null and empty texts are one end. Very long texts are whole; their symbols lie in memory at once. Repeated rows are scored each
+and all count in training. Ties do not arise: a state stays or not by its own counts. Without training rows every symbol has
+probability 1 / 256, and N is 0. An empty table gives no rows. A carried column named like a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import Scratch, ship
-from .common import SPACE, Words, chunks, mix, words
+from .common import SPACE, Words, carried, chunks, mix, words
 
 DEPTH, LEAST, GAIN, COMMON = 6, 16, 8.0, 5e-7
 ROOT, PART, HOLD = 3, 50_000, 8 << 20
@@ -220,9 +222,9 @@ def _rows(t: pa.Table) -> list[tuple[int, int, list[int], list[int]]]:
     return list(zip(*(t.column(x).to_pylist() for x in ("d", "ctx", "nexts", "ns")), strict=True))
 
 
-def learn(df: DataFrame, scratch: Scratch, depth: int = DEPTH, share: float = 0.0, gain: float = GAIN, text: str = "text") -> Tree:
+def learn(df: DataFrame, scratch: Scratch, depth: int = DEPTH, share: float = 0.0, gain: float = GAIN, text: str = "text", least: int = LEAST) -> Tree:
     """The whole tree, for small corpora."""
-    out = tree(_rows(candidates(df, scratch, depth, LEAST, share, text).toArrow()), depth, gain)
+    out = tree(_rows(candidates(df, scratch, depth, least, share, text).toArrow()), depth, gain)
     scratch.drop("candidates")
     return out
 
@@ -235,10 +237,10 @@ def ends(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return code
 
 
-def learn_parts(df: DataFrame, scratch: Scratch, depth: int = DEPTH, gain: float = GAIN, text: str = "text", part: int = PART) -> tuple[np.ndarray, list]:
+def learn_parts(df: DataFrame, scratch: Scratch, depth: int = DEPTH, gain: float = GAIN, text: str = "text", part: int = PART, least: int = LEAST, share: float = 0.0) -> tuple[np.ndarray, list]:
     """(the least ends() of each part; its packed tree, broadcast)."""
     spark = df.sparkSession
-    found = candidates(df, scratch, depth, LEAST, 0.0, text)
+    found = candidates(df, scratch, depth, least, share, text)
     short = spark.sparkContext.broadcast(_rows(found.filter(F.col("d") < ROOT).toArrow()))
     long = found.filter(F.col("d") >= ROOT).withColumn("code", F.expr(" | ".join(f"shiftleft(shiftright(ctx, {8 * k}) & 255L, {8 * (ROOT - 1 - k)})" for k in range(ROOT))))
     count = long.groupBy("code").count().toArrow().sort_by("code")
@@ -294,24 +296,27 @@ class _Held:
         self.texts, self.size = [], 0
 
 
-def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, common: float = COMMON) -> DataFrame:
-    """key, the columns in carry, n_tokens, n_known, train_tokens, base_score and score of each row of df."""
+def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, common: float = COMMON, depth: int = DEPTH, least: int = LEAST, share: float = 0.0, gain: float = GAIN) -> DataFrame:
+    """key, the columns in carry, n_tokens, n_known, train_tokens, base_score and score of each row of df.
+
+    depth, least, share and gain say which contexts are states; least = 1, share = 0 and gain = 0 keep all up to depth (at most 7).
+    """
     spark = df.sparkSession
     ship(spark)
-    carry = carry or []
+    carry = carried(carry, [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     counts = scratch.keep(word_counts(train, text), "words")
     kinds, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     top = counts.filter(F.col("n") >= max(1.0, common * total)).toArrow()
     at = np.argsort(top.column(0).to_numpy(), kind="stable")
     sent = spark.sparkContext.broadcast((top.column(0).to_numpy()[at], top.column(1).to_numpy()[at]))
-    bounds, parts = learn_parts(train, scratch, text=text)
+    bounds, parts = learn_parts(train, scratch, depth, gain, text, PART, least, share)
     below = total + kinds + 1
-    base = df.select(key, *carry, text)
-    new = [T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("rare", T.ArrayType(T.LongType()))]
+    base = df.select(key, *carry, F.col(text).alias("__text"))
+    new = [T.StructField("__n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("__score", T.DoubleType()), T.StructField("__rare", T.ArrayType(T.LongType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ns = sent.value
-        held = _Held(bounds, parts)
+        held = _Held(bounds, parts, depth)
 
         def scored() -> Iterator[pa.RecordBatch]:
             for total, columns in held.scores():
@@ -347,15 +352,15 @@ def score(df: DataFrame, train: DataFrame, scratch: Scratch, key: str = "doc_id"
         yield from scored()
 
     scored = base.mapInArrow(run, T.StructType([*base.schema.fields[:-1], *new]))
-    scored = scratch.keep(scored.withColumn("at", F.monotonically_increasing_id()), "scored")
-    rare = scored.filter(F.size("rare") > 0).select("at", F.explode("rare").alias("key")).join(counts.filter(F.col("n") < max(1.0, common * total)), "key")
-    rest = rare.groupBy("at").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"), F.count("*").alias("found"))
-    return scored.join(rest, "at", "left").select(
+    scored = scratch.keep(scored.withColumn("__at", F.monotonically_increasing_id()), "scored")
+    rare = scored.filter(F.size("__rare") > 0).select("__at", F.explode("__rare").alias("key")).join(counts.filter(F.col("n") < max(1.0, common * total)), "key")
+    rest = rare.groupBy("__at").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("__more"), F.count("*").alias("__found"))
+    return scored.join(rest, "__at", "left").select(
         key,
         *carry,
-        "n_tokens",
-        (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
+        F.col("__n_tokens").alias("n_tokens"),
+        (F.col("__known") + F.coalesce("__found", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("__base") + F.coalesce("__more", F.lit(0.0))).alias("base_score"),
+        F.col("__score").alias("score"),
     )
