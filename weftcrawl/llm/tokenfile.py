@@ -5,13 +5,16 @@ unsigned 32-bit integers; the index (doc_id int64, end of the frame uint64, n_to
 its start and the number of documents as uint64; MAGIC. A reader takes the index and then any one document, or all in turn.
 The dictionary lies beside the files under its hash.
 
-Texts that are null or empty give the end id alone. Rows with equal doc_ids stay and lie side by side, null ids first.
+Texts that are null or empty give the end id alone. Very long texts are one frame; their ids lie in memory at once. Rows with
+equal doc_ids stay and lie side by side in any order, null ids first. An empty table gives no files and no rows. Of other
+columns none is read, whatever its name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -27,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import Scratch, ship
-from .common import chunks, sampled
+from .common import chunks, sampled, within
 from .parts import PartCoder
 from .store import create, open_file
 
 MAGIC = b"WTOKENS1"
-#: Documents that the dictionary is trained on, characters of each, and bytes of the dictionary.
-SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 4000, 64 << 10
+#: Documents that the dictionary is trained on at most, their bytes, and bytes of the dictionary.
+SAMPLE, SAMPLE_BYTES, DICTIONARY = 1000, 4 << 20, 64 << 10
 LEVEL = 3
 _TAIL = struct.Struct("<QQ8s")
 
@@ -43,9 +46,14 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(2)
+def _added(path: str):
+    """What finds the content of an added token in a text; the library gives such content the token's id wherever it is."""
+    contents = sorted({t.content for t in _tokenizer(path).get_added_tokens_decoder().values()}, key=lambda c: (-len(c), c))
+    return re.compile("|".join(map(re.escape, contents)).encode()) if contents else None
 
 
 def _whole(tokenizer, texts: list[str]) -> list[list[int]]:
@@ -78,13 +86,20 @@ def _coder(path: str) -> PartCoder:
 
 
 def encode(path: str, texts: pa.Array, end: int | None) -> Iterator[bytes]:
-    """Each text's ids in their serial form, then end. The library encodes each different part of the texts once."""
+    """Each text's ids in their serial form, then end. The library encodes each different part of the texts once, and whole the texts
+    that hold the content of an added token."""
     tail = b"" if end is None else struct.pack("<I", end)
+    added = _added(path)
     for _, buf, offsets in chunks(texts):
         ids, cut = _coder(path).chunk(buf, offsets)
         data, cut = ids.astype("<u4").tobytes(), (cut * 4).tolist()
-        for i, j in zip(cut, cut[1:], strict=False):
-            yield data[i:j] + tail
+        raw = buf.tobytes()
+        marked = added is not None and added.search(raw) is not None
+        for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)):
+            if marked and added.search(raw, offsets[k], offsets[k + 1]):
+                yield np.array(_whole(_tokenizer(path), [raw[offsets[k] : offsets[k + 1]].decode()])[0], "<u4").tobytes() + tail
+            else:
+                yield data[i:j] + tail
 
 
 def train(samples: list[bytes], size: int = DICTIONARY) -> bytes:
@@ -166,7 +181,7 @@ def write(df: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end: int
     spark = df.sparkSession
     ship(spark)
     df = df.select(F.col(key).cast("long").alias(key), text)
-    sample = [r[0] for r in sampled(df, SAMPLE, key).select(F.substring(text, 1, SAMPLE_CHARS)).collect()]
+    sample = within(sampled(df, SAMPLE, key), text, SAMPLE_BYTES)
     dictionary = train(list(encode(tokenizer, pa.array(sample, pa.string()), end)))
     name = hashlib.sha256(dictionary).hexdigest()
     with create(f"{folder}/dictionary-{name}.zdict") as f:

@@ -5,7 +5,8 @@ equal payloads one is stored as a response and the others as revisits that refer
 bounded sample of the records that are written.
 
 Null payloads are empty ones. Rows with the same page_id and payload are all responses if they are the largest. Pages without
-an id are revisits of any page with one, and responses otherwise.
+an id are revisits of any page with one, and responses otherwise. Very long payloads are one record, which lies in memory at
+once. An empty table gives no files and no rows. Of other columns none is read, whatever its name.
 """
 
 from __future__ import annotations
@@ -25,27 +26,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import Scratch, ship
-from .common import sampled
+from .common import sampled, within
 from .parts import SLICE
 from .store import create, open_file
 from .tokenfile import train
 
 #: The magic number of the skippable frame that holds a dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
-#: Records that the dictionary is trained on, characters of each, and bytes of the dictionary.
-SAMPLE, SAMPLE_CHARS, DICTIONARY = 1000, 16_000, 64 << 10
+#: Records that the dictionary is trained on at most, their bytes, and bytes of the dictionary.
+SAMPLE, SAMPLE_BYTES, DICTIONARY = 1000, 8 << 20, 64 << 10
+#: Repeated digests up to this number are sent to the executors, so that payloads stay where they are read; more are joined.
+SENT = 300_000
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def deduplicated(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def deduplicated(pages: DataFrame, scratch: Scratch, least: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """(page_id, url, payload, sha1, refers_to): refers_to is null for responses. Payloads under `least` bytes are all responses."""
     df = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     df = df.withColumn("sha1", F.sha1(F.encode("payload", "UTF-8")))
     largest = df.filter(F.octet_length("payload") >= least).groupBy("sha1").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # the few digests that repeat; Spark splits what one of them has too much of
-    out = df.join(largest, "sha1", "left")
+    # the digests that repeat; where they are joined, Spark splits what one of them has too much of
+    largest = scratch.keep(largest, "repeated")
+    out = df.join(F.broadcast(largest) if largest.count() <= SENT else largest, "sha1", "left")
     revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return out.select("page_id", "url", "payload", "sha1", F.when(revisit, F.col("largest")).alias("refers_to"))
 
@@ -125,9 +129,9 @@ PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("pay
 def write(pages: DataFrame, folder: str, scratch: Scratch, least: int = 0, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Archives the pages, a file for each task. Returns the manifest (path, records) of committed attempts."""
     ship(pages.sparkSession)
-    some = sampled(pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.substring(payload, 1, SAMPLE_CHARS).alias("payload")), SAMPLE, "page_id").collect()
-    dictionary = train([record(r["page_id"], r["url"], (r["payload"] or "").encode(), "00" * 20, None) for r in some], DICTIONARY)
-    rows = deduplicated(pages, least, key, url, payload)
+    some = within(sampled(pages.select(F.col(key).alias("page_id"), F.col(payload).alias("payload")), SAMPLE, "page_id"), "payload", SAMPLE_BYTES)
+    dictionary = train([record(None, "", t.encode(), "00" * 20, None) for t in some], DICTIONARY)
+    rows = deduplicated(pages, scratch, least, key, url, payload)
     base = rows.select("page_id", "url", F.encode("payload", "UTF-8").alias("payload"), "sha1", "refers_to")
     return scratch.keep(base.mapInArrow(_archiver(folder, dictionary), FILES), "manifest")
 
