@@ -3,14 +3,20 @@
 Test items and texts are lowered and runs of white space become one space. An item of m characters may differ from a place in
 a text by k = m * RATE edits, rounded down. Cut into k + 1 pieces, one piece must be there unchanged; an Aho-Corasick
 automaton over the pieces finds all such hits in one pass. Around the hits Myers' bit-parallel algorithm gives the least edit
-distance of the item to any part of the text. Long items are also asked for in segments, so that a part of one is found.
+distance of the item to any part of the text. Items under SHORT characters have to be there unchanged, between word ends.
+
+A part of an item is asked for by segments of about SEGMENT characters, each within its own k, wherever an item makes two of
+them: a leaked passage of 2 * SEGMENT characters holds a whole segment. What is shorter counts only as a whole item.
 
 The items are the stated query set: they go to the executors in blocks of BLOCK characters, each block with its own pass over
-the texts. Null and empty texts and items match nothing. Repeated texts are matched each; repeated items are one row each.
+the texts. Null and empty texts and items match nothing. Very long texts are searched whole. Repeated texts are matched each;
+repeated items are one row each. Of several matches of an item the longest counts, then the nearest, then the first. An empty
+table of either kind gives no match. Other columns are not read, whatever their names; clean() passes them through.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -22,9 +28,22 @@ from pyspark.sql import types as T
 from ..plans.runtime import ship
 
 RATE = 1 / 16
-#: Items under so many characters are no evidence of a leak; above twice SEGMENT they are also matched in segments.
-SHORTEST, SEGMENT = 24, 160
+SHORT, SEGMENT = 24, 80
 BLOCK = 4_000_000
+#: The automaton that this process made last, by what it was made of: tasks of a worker share it.
+_LAST: dict[str, Matcher] = {}
+
+
+def _inside(text: str, i: int) -> bool:
+    """Place i lies within a word. Scripts that are written without spaces have a word end anywhere."""
+    return 0 < i < len(text) and all(c.isalnum() and not (0x0E00 <= ord(c) < 0x1100 or 0x1780 <= ord(c) < 0x1800 or 0x2E80 <= ord(c) < 0xAC00 or ord(c) >= 0xF900) for c in text[i - 1 : i + 1])
+
+
+def needles(item: str, rate: float = RATE) -> list[tuple[str, int]]:
+    """(what to find, edits that it may have): a normal item and its segments."""
+    n = len(item) // SEGMENT
+    segments = [item[len(item) * j // n : len(item) * (j + 1) // n].strip() for j in range(n)] if n > 1 else []
+    return [(s, int(len(s) * rate) if len(s) >= SHORT else 0) for s in [item, *segments] if s]
 
 
 def normal(text: str | None) -> str:
@@ -72,13 +91,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.needles: list[tuple[int, str, int]] = []
         for i, item in items:
-            if len(item) < SHORTEST:
-                continue
-            segments = [item]
-            if len(item) >= 2 * SEGMENT:
-                n = len(item) // SEGMENT
-                segments += [item[len(item) * j // n : len(item) * (j + 1) // n].strip() for j in range(n)]
-            self.needles += [(i, s, int(len(s) * rate)) for s in segments]
+            self.needles += [(i, s, k) for s, k in needles(item, rate)]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, s, k) in enumerate(self.needles):
             for at, piece in pieces(s, k):
@@ -102,6 +115,8 @@ class Matcher:
         best: dict[int, tuple[int, int, int]] = {}
         for n, starts in places.items():
             item, s, k = self.needles[n]
+            if len(s) < SHORT:
+                starts = [x for x in starts if not _inside(text, x) and not _inside(text, x + len(s))]
             for lo, hi in _merged(starts, k):
                 lo, hi = max(0, lo - k), min(len(text), hi + len(s) + k)
                 at = text.find(s, lo, hi)
@@ -132,7 +147,7 @@ def matches(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     out = spark.createDataFrame([], schema)
     for block in _blocks(items.select(F.col(item_key).cast("long"), item_text).filter(F.col(item_text).isNotNull())):
         sent = spark.sparkContext.broadcast(block)
-        out = out.unionByName(df.select(key, text).mapInArrow(_search(sent, schema.names), schema))
+        out = out.unionByName(df.select(key, text).mapInArrow(_search(sent, _name(block), schema.names), schema))
     return out
 
 
@@ -142,22 +157,33 @@ def clean(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "
     ship(spark)
     at = df.columns.index(text)
 
-    def keep(sent):
+    def keep(sent, name):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value)
+            matcher = _matcher(name, sent)
             for b in batches:
                 yield b.filter(pa.array([not matcher.find(t.as_py()) for t in b.column(at)], pa.bool_()))
 
         return run
 
     for block in _blocks(items.select(F.col(item_key).cast("long"), item_text).filter(F.col(item_text).isNotNull())):
-        df = df.mapInArrow(keep(spark.sparkContext.broadcast(block)), df.schema)
+        df = df.mapInArrow(keep(spark.sparkContext.broadcast(block), _name(block)), df.schema)
     return df
 
 
-def _search(sent, names: list[str]):
+def _name(block: list[tuple[int, str]]) -> str:
+    return hashlib.sha256(repr(block).encode()).hexdigest()
+
+
+def _matcher(name: str, sent) -> Matcher:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Matcher(sent.value)
+    return _LAST[name]
+
+
+def _search(sent, name: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value)
+        matcher = _matcher(name, sent)
         for b in batches:
             rows: list[int] = []
             found: list[tuple[int, int, int, int]] = []
