@@ -301,13 +301,14 @@ def test_crawl(spark):
     def follow(ok):
         return ok.select(F.col("url").alias("src_url"), "depth", F.explode("links").alias("href")).withColumn("url", U.join("src_url", "href")).select("src_url", "depth", "url")
 
-    def go(parts, **more):
-        return crawl.Crawl(spark, crawl.table_fetcher(df.repartition(parts)), follow, items=lambda ok: ok.select("url", F.size("links").alias("n")), domains=["e.com"], **more)
+    def go(parts, settings=None, **more):
+        spider = crawl.Follow(requests.seeds(spark, ["http://e.com/"]), follow, items=lambda ok: ok.select("url", F.size("links").alias("n")), domains=["e.com"])
+        return crawl.Crawl(spark, spider, crawl.table_fetcher(df.repartition(parts)), settings or {}, **more)
 
     results = []
     for parts in (1, 3):
         c = go(parts)
-        results.append(sorted(map(tuple, c.run(requests.seeds(spark, ["http://e.com/"])).collect())))
+        results.append(sorted(map(tuple, c.run().collect())))
         assert c.reason == "finished" and {r["url"] for r in c.scraped().collect()} == {f"http://e.com{p}" for p in site}
     assert results[0] == results[1]
     depth = {}
@@ -315,10 +316,13 @@ def test_crawl(spark):
         depth.setdefault(url.removeprefix("http://e.com"), []).append(d)
     assert {k: min(v) for k, v in depth.items()} == {"/": 0, "/a": 1, "/b": 1, "/c": 2, "/r": 2, "/bad": 2, "/d": 2, "/e": 3}
     assert len(depth["/bad"]) == 3
-    assert {r["url"] for r in go(2, depth_limit=1).run(requests.seeds(spark, ["http://e.com/"])).collect()} == {"http://e.com/", "http://e.com/a", "http://e.com/b"}
+    # the seed passes the filter, so that the link back to it is new
+    assert c.stats.get("retry/count") == 2 and c.stats.get("item_scraped_count") == 7 and c.stats.get("request_depth_max") == 3
+    assert c.stats.get("scheduler/enqueued") == c.stats.get("scheduler/dequeued") == len(results[0])
+    assert {r["url"] for r in go(2, {"DEPTH_LIMIT": 1}).run().collect()} == {"http://e.com/", "http://e.com/a", "http://e.com/b"}
     c = go(2, round_limit=1)
-    assert c.run(requests.seeds(spark, ["http://e.com/"])).count() == 1 and c.reason == "closespider_rounds"
-    assert go(2, paused=lambda: True).run(requests.seeds(spark, ["http://e.com/"])).count() == 0
+    assert c.run().count() == 1 and c.reason == "closespider_rounds"
+    assert go(2, paused=lambda: True).run().count() == 0
 
 
 def test_streams(spark, tmp_path):
@@ -340,3 +344,46 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+PIECES = [
+    '<a href="/a">plain</a>', "<a href='/b?x=1&amp;y=2'>t &lt;i&gt;</a>", "<a class=x href=/c>bare</a>", '<a href="/d">one <b>two</b></a>', '<a href="/e">open ', "<a>none</a>", "<A HREF='/F'>caps</A >",
+    '<!-- <a href="/no">no</a> -->', '<script>var s = "<a href=\'/no\'>no</a>";</script>', "<style>a{}</style>", '<area href="/area">', '<a href=" /sp ">  pad　</a>', '<a href="">empty</a>', "<a href>bare</a>",
+    '<a data-href="/no">no</a>', '<a title="href=/no" href="/g">g</a>', '<a title="a>b" href="/h">h</a>', '<a rel="nofollow" href="/i">i</a>', '<a href="/j" rel="x nofollow y">j</a>', "<a rel=nofollow href=/k>k</a>",
+    '<a rel="notnofollow" href="/l">l</a>', "<title>t <a href='/no'>no</a></title>", '<textarea><a href="/no">no</a></textarea>', '<a href="/m">a &copy; b</a>', '<a href="/n">a & b</a>', "<p>text", "<br/>", '<a href="/o"/>self', '<a href="/p" href="/q">two</a>',
+    "<svg><a href='/r'>r</a></svg>", '<a href="/s">x</a><a href="/s">again</a>', "<abbr>no</abbr>", "<article>no</article>", '<a\nhref="/u">line\nbreak</a>', "<a href=/v>v<a href=/w>w</a>", '<base href="/deep/x">',
+]
+
+
+def test_links_by_expression_are_those_of_a_parse(spark):
+    import random
+
+    rng = random.Random(6)
+    pages = [(i, "http://e.com/x/", p) for i, p in enumerate(PIECES)] + [(100 + i, "http://e.com/x/", " ".join(rng.choices(PIECES[:7] if i % 2 else PIECES, k=rng.randint(2, 5)))) for i in range(160)]
+    pages += [(400, "http://e.com/", None), (401, "http://e.com/", "")]
+    df = spark.createDataFrame(pages, "page_id int, url string, html string")
+    for rule in (links.LinkRule(unique=False), links.LinkRule(restrict_text=("^[a-z]",))):
+        fast, slow = ({tuple(r) for r in links.links(df, rule, carry=["page_id", "url"], parse=p).drop("src_url").collect()} for p in (None, True))
+        assert fast == slow and len(fast) > 100
+    assert df.filter(links.plain("html")).count() > 40
+
+
+def test_rules_with_scopes_tags_and_attributes(spark):
+    html = '<div class="main"><a href="/in">in</a><img src="/pic"></div><div id="side"><a href="/out" rel="nofollow">out</a><link href="/feed"></div>'
+    df = spark.createDataFrame([("http://e.com/", html)], "url string, html string")
+    get = lambda **r: [x["url"].removeprefix("http://e.com") for x in links.links(df, links.LinkRule(**r)).orderBy("pos").collect()]
+    assert get() == ["/in", "/out"] and get(restrict_css=(".main",)) == ["/in"] and get(restrict_xpath=('//div[@id="side"]',)) == ["/out"]
+    assert get(tags=("img", "link"), attrs=("src", "href")) == ["/pic", "/feed"]
+    assert [r["url"][12:] for r in links.by_rules(df.withColumn("page_id", F.lit(1)), [links.LinkRule(restrict_css=("#side",))]).collect()] == ["/out"]
+    assert links.Extractor(links.LinkRule(restrict_css=(".main",))).extract(df, ["url"]).count() == 1
+
+
+def test_pages_of_any_depth(spark):
+    from weftcrawl.functions import html as X
+
+    deep = "<div>" * 3000 + "<p class='k'>end</p>" + "</div>" * 3000
+    df = spark.createDataFrame([(deep,), ("<p>a&b<script>1<2</script></p>",)], "html string")
+    rows = df.select(X.select("html", {"p": "p", "d": "div"}, markup=True).alias("s")).collect()
+    assert rows[0]["s"]["p"][0]["text"] == "end" and rows[0]["s"]["d"][0]["html"].count("<div>") == 3000 and rows[0]["s"]["p"][0]["html"] == '<p class="k">end</p>'
+    assert rows[1]["s"]["p"][0]["html"] == "<p>a&amp;b<script>1<2</script></p>"
+    assert df.select(X.select("html", {"d": "div"}).alias("s")).first()["s"]["d"][0]["html"] is None

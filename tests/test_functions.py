@@ -110,7 +110,7 @@ def test_selectors(query, want):
 
 def test_select_columns(spark):
     df = spark.createDataFrame([(1, QUOTES), (2, ""), (3, None)], "id int, html string")
-    s = X.select("html", {"t": "span.text", "q": ["div.quote", "a"], "e": "#empty"})
+    s = X.select("html", {"t": "span.text", "q": ["div.quote", "a"], "e": "#empty"}, markup=True)
     rows = df.select("id", s.alias("s")).select("id", X.get(F.col("s.t"), "none").alias("first"), X.get_all(F.col("s.t")).alias("all"), X.attr_all(F.col("s.q"), "href").alias("href"), F.get("s.q", F.lit(0))["html"].alias("html"), X.has_class(F.get("s.q", F.lit(0)), "tag").alias("tag"), X.get(F.col("s.e"), "d").alias("e")).orderBy("id").collect()
     assert rows[0]["first"] == "One & only" and rows[0]["all"] == ["One & only", "Two"] and rows[0]["href"] == ["/t/a", "/t/b", "/t/c", ""]
     assert rows[0]["html"] == '<a class="tag" href="/t/a">a</a>' and rows[0]["tag"] and rows[0]["e"] == "d"

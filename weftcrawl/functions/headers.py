@@ -48,6 +48,12 @@ def first(headers, name: str) -> Column:
     return F.get(F.get(hit, F.lit(0))["value"], F.lit(0))
 
 
+def every(headers, name: str) -> Column:
+    """All values of a header, whatever its case; null where it is missing."""
+    found = F.map_filter(_col(headers), lambda k, _: F.lower(k) == name.lower())
+    return F.when(F.size(found) > 0, F.flatten(F.map_values(found)))
+
+
 def content_type(value) -> Column:
     """what stands before the semicolon, trimmed and lowered."""
     return F.lower(F.trim(F.substring_index(_col(value), ";", 1)))

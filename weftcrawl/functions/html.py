@@ -52,12 +52,22 @@ class Node:
         return "".join(c for c in self.children if isinstance(c, str))
 
     def html(self) -> str:
+        """H9. Without recursion: pages may be nested to any depth."""
         escape = lambda s: s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-        head = "<" + self.tag + "".join(f' {k}="{escape(v).replace(chr(34), "&#34;")}"' for k, v in self.attrs.items()) + ">"
-        if self.tag in VOID:
-            return head
-        raw = self.tag in ("script", "style")
-        return head + "".join((c if raw else escape(c)) if isinstance(c, str) else c.html() for c in self.children) + f"</{self.tag}>"
+        out: list[str] = []
+        stack: list[tuple[Node | str, bool]] = [(self, False)]
+        while stack:
+            n, raw = stack.pop()
+            if isinstance(n, str):
+                out.append(n if raw else escape(n))
+                continue
+            out.append("<" + n.tag + "".join(f' {k}="{escape(v).replace(chr(34), "&#34;")}"' for k, v in n.attrs.items()) + ">")
+            if n.tag not in VOID:
+                end = (f"</{n.tag}>", True)
+                stack.append(end)
+                raw = n.tag in ("script", "style")
+                stack.extend((c, raw) for c in reversed(n.children))
+        return "".join(out)
 
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
@@ -418,13 +428,15 @@ def _select(node: Node, query: str) -> list[Node | str]:
     return xpath(node, query) if query[:1] == "/" or query[:2] == "./" or query[:3] == ".//" else css(node, query)
 
 
-def _row(x: Node | str) -> dict:
-    return {"text": x, "html": x, "attrs": []} if isinstance(x, str) else {"text": x.text(), "html": x.html(), "attrs": list(x.attrs.items())}
+def _row(x: Node | str, markup: bool) -> dict:
+    if isinstance(x, str):
+        return {"text": x, "html": x if markup else None, "attrs": []}
+    return {"text": x.text(), "html": x.html() if markup else None, "attrs": list(x.attrs.items())}
 
 
-def select(html: str | Column, queries: dict[str, str | list[str]]) -> Column:
+def select(html: str | Column, queries: dict[str, str | list[str]], markup: bool = False) -> Column:
     """A struct of arrays of (text, html, attrs), one for each query; the page is parsed once. A list of queries is a chain (H12):
-    each is asked of what the one before found."""
+    each is asked of what the one before found. html (H9) is null but where markup is asked for."""
     kind = T.StructType([T.StructField(k, SELECTED) for k in queries])
     arrow = pa.struct([(k, pa.list_(pa.struct([("text", pa.string()), ("html", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))) for k in queries])
 
@@ -432,7 +444,7 @@ def select(html: str | Column, queries: dict[str, str | list[str]]) -> Column:
         now: list[Node | str] = [page]
         for q in [query] if isinstance(query, str) else query:
             now = [x for n in now if isinstance(n, Node) for x in _select(n, q)]
-        return [_row(x) for x in now]
+        return [_row(x, markup) for x in now]
 
     @F.arrow_udf(kind)
     def run(x: pa.Array) -> pa.Array:
@@ -451,6 +463,11 @@ def get(selected: Column, default: str = "") -> Column:
     return F.when(t.isNull() | (t == ""), F.lit(default)).otherwise(t)
 
 
+def get_html(selected: Column, default: str = "") -> Column:
+    """H9: the markup of the first, of select(..., markup=True)."""
+    return F.coalesce(F.get(selected, F.lit(0))["html"], F.lit(default))
+
+
 def get_all(selected: Column) -> Column:
     """H8."""
     return F.filter(F.transform(selected, lambda x: x["text"]), lambda t: t != "")

@@ -1,4 +1,5 @@
-"""Request and response transforms around a fetch (W1-W11, W16, F18, F19): projections that give the next round's rows."""
+"""Request and response transforms around a fetch (W1-W11, W16, F18, F19): projections that give the next round's rows.
+`operators.middleware` has them as the steps of a crawl."""
 
 from __future__ import annotations
 
@@ -76,14 +77,20 @@ def retry_counts(judged: DataFrame) -> DataFrame:
     return merged([counters(judged.filter("retry"), "retry/count", "retry_reason"), judged.filter("gave_up").agg(F.count("*").cast("double").alias("value")).select(F.lit("retry/max_reached").alias("key"), "value")])
 
 
+def redirected(status: Column, url: Column, location: Column, times: Column, limit: int = 20, mode: str = "documented") -> Column:
+    """Whether an answer is followed as the `times`-th redirect of its request."""
+    target = urls.join(url, location)
+    follows = status.isin(*REDIRECTS) & location.isNotNull() & (location != "") & urls.scheme(target).isin("http", "https")
+    return follows & (times <= limit if mode == "documented" else times <= limit + 1 - times)
+
+
 def redirects(responses: DataFrame, limit: int = 20, step: int = 2, mode: str = "documented") -> DataFrame:
     """The requests that redirects give. mode `reference`: the limit shrinks as the count grows.
 
     Columns url, status, location, method, redirect_times, redirect_urls, priority, dont_filter, headers, body."""
     times = F.coalesce("redirect_times", F.lit(0)) + 1
     target = urls.join("url", "location")
-    follows = F.col("status").isin(*REDIRECTS) & F.col("location").isNotNull() & (F.col("location") != "") & urls.scheme(target).isin("http", "https")
-    follows = follows & (times <= limit if mode == "documented" else times <= limit + 1 - times)
+    follows = redirected(F.col("status"), F.col("url"), F.col("location"), times, limit, mode)
     get = (F.col("status").isin(301, 302) & (F.col("method") == "POST")) | ((F.col("status") == 303) & ~F.col("method").isin("GET", "HEAD"))
     away = urls.host(target) != urls.host("url")
     # as columns first: inside the lambda, url would be the new one
@@ -124,13 +131,19 @@ def set_cookies(jar: DataFrame | None, responses: DataFrame) -> DataFrame:
 
 
 def with_cookies(requests: DataFrame, jar: DataFrame, key: str = "id") -> DataFrame:
-    """Requests with a `cookie` header value of all cookies that fit, longer paths first. Hosts are joined by suffix."""
-    r = requests.select(key, "jar", "url").withColumns({"host": urls.host("url"), "p": F.when(urls.path("url") == "", F.lit("/")).otherwise(urls.path("url"))}).withColumn("domain", F.explode(urls.suffixes("host")))
-    fits = (~F.col("host_only") | (F.col("host") == F.col("domain"))) & (~F.col("secure") | (urls.scheme("url") == "https"))
-    below = (F.col("p") == F.col("path")) | (F.startswith("p", "path") & (F.col("path").endswith("/") | (F.substring("p", F.length("path") + 1, F.lit(1)) == "/")))
-    got = r.join(jar, ["jar", "domain"]).filter(fits & below)
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.length("path")).alias("l"), "name", "value"))), lambda x: F.concat(x["name"], F.lit("="), x["value"])), "; ")
-    return requests.join(got.groupBy(key).agg(line.alias("cookie")), key, "left")
+    """Requests with a `cookie` header value of all cookies that fit, longer paths first. The jar is one row for each jar and
+    domain, the cookies of a domain in an array, so that a request meets at most one row for each suffix of its host."""
+    by_domain = jar.groupBy("jar", "domain").agg(F.collect_list(F.struct("path", "name", "value", "host_only", "secure")).alias("__have"))
+    r = requests.select(F.col(key).alias("__id"), "jar", "url").withColumns({"host": urls.host("url"), "p": F.when(urls.path("url") == "", F.lit("/")).otherwise(urls.path("url")), "safe": urls.scheme("url") == "https"}).withColumn("domain", F.explode(urls.suffixes("host")))
+
+    def fits(c: Column) -> Column:
+        below = (F.col("p") == c["path"]) | (F.startswith("p", c["path"]) & (c["path"].endswith("/") | (F.substring("p", F.length(c["path"]) + 1, F.lit(1)) == "/")))
+        return (~c["host_only"] | (F.col("host") == F.col("domain"))) & (~c["secure"] | F.col("safe")) & below
+
+    got = r.join(by_domain, ["jar", "domain"]).select("__id", F.filter("__have", fits).alias("__fit")).filter(F.size("__fit") > 0)
+    ordered = F.array_sort(F.transform(F.flatten(F.collect_list("__fit")), lambda c: F.struct((-F.length(c["path"])).alias("l"), c["name"].alias("name"), c["value"].alias("value"))))
+    line = got.groupBy("__id").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["name"], F.lit("="), x["value"])), "; ").alias("cookie"))
+    return requests.join(line, F.col(key) == F.col("__id"), "left").drop("__id")
 
 
 def decodable(encoding: str) -> tuple[list[str], list[str]]:
@@ -142,21 +155,37 @@ def decodable(encoding: str) -> tuple[list[str], list[str]]:
     return parts[:k], parts[k:]
 
 
+def _inflated(body: bytes, wbits: int, most: int) -> bytes:
+    """All members of a stream, decoded piece by piece; stops beyond `most` bytes."""
+    out, size, rest = [], 0, body
+    while rest:
+        d = zlib.decompressobj(wbits)
+        while not d.eof:
+            piece = d.decompress(rest, min(1 << 20, most + 1 - size))
+            out.append(piece)
+            size += len(piece)
+            if size > most:
+                return b"".join(out)
+            if not piece and not d.unconsumed_tail and not d.eof:
+                raise EOFError("the stream ends too early")
+            rest = d.unconsumed_tail
+        rest = d.unused_data if wbits == 31 and d.unused_data[:2] == b"\x1f\x8b" else b""
+    return b"".join(out)
+
+
 def undo(body: bytes, encodings: list[str], most: int = 1 << 30) -> bytes | None:
-    """null where it fails or gives more than `most` bytes."""
+    """null where it fails or gives more than `most` bytes; no more than those are ever decoded."""
     try:
         for e in reversed(encodings):
-            for wbits in ((31,) if "gzip" in e else (-15, 15)):
+            if "gzip" in e:
+                body = _inflated(body, 31, most)
+            else:
                 try:
-                    d = zlib.decompressobj(wbits)
-                    out = d.decompress(body, most + 1) + d.flush()
-                    break
-                except zlib.error:
-                    if wbits in (31, 15):
-                        raise
-            if len(out) > most:
+                    body = _inflated(body, -15, most)
+                except (zlib.error, EOFError):
+                    body = _inflated(body, 15, most)
+            if len(body) > most:
                 return None
-            body = out
         return body
     except (zlib.error, gzip.BadGzipFile, EOFError):
         return None
@@ -200,15 +229,3 @@ def transfer_stats(requests: DataFrame, responses: DataFrame) -> DataFrame:
         parts.append(gauge(responses, "downloader/max_download_time", F.col("latency_s")))
     return merged(parts)
 
-
-class Middleware:
-    """Any of the hooks over whole frames."""
-
-    def process_request(self, requests: DataFrame) -> DataFrame:
-        return requests
-
-    def process_response(self, responses: DataFrame) -> DataFrame:
-        return responses
-
-    def process_exception(self, errors: DataFrame) -> DataFrame:
-        return errors

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame
@@ -154,18 +154,19 @@ def write(items: DataFrame, feed: Feed) -> dict[str, int]:
     return {"items": seen.get["items"]}
 
 
-def fan_out(items: DataFrame, feeds: list[Feed]) -> dict[str, int]:
-    """Every feed gets every item; one feed's error does not touch the others. (key, value) statistics by URI."""
-    stats: dict[str, int] = {}
+def fan_out(items: DataFrame, feeds: list[Feed], name: str = "spider") -> dict[str, int | str]:
+    """Every feed gets every item; one feed's error does not touch the others. Statistics by URI, with the errors' texts."""
+    stats: dict[str, int | str] = {}
     items = items.persist()
     try:
         for f in feeds:
+            f = replace(f, uri=expand(f.uri, name))
             try:
                 stats[f"feedexport/items_count/{f.uri}"] = write(items, f)["items"]
                 stats["feedexport/success_count"] = stats.get("feedexport/success_count", 0) + 1
-            except Exception:  # noqa: BLE001
+            except Exception as e:  # noqa: BLE001
                 stats["feedexport/failed_count"] = stats.get("feedexport/failed_count", 0) + 1
-                stats[f"feedexport/error/{f.uri}"] = 1
+                stats[f"feedexport/error/{f.uri}"] = f"{type(e).__name__}: {e}"
     finally:
         items.unpersist()
     return stats

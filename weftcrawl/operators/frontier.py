@@ -1,15 +1,19 @@
 """Deduplication, priorities and admission (D1-D14, W18-W21) as window functions and anti-joins.
 
-Requests have url, method, priority, dont_filter, seq (the order of arrival) and fp.
+Requests have url, method, priority, dont_filter, seq (the order of arrival) and fp. A Frontier holds a crawl's queue and seen set
+as tables of rounds in a shared folder, so that a crawl is taken up again where it was left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..plans.runtime import Scratch
 
 
 def first_seen(requests: DataFrame, seen: DataFrame | None = None, fp: str = "fp", seq: str = "seq", bypass: str | None = "dont_filter") -> DataFrame:
@@ -76,3 +80,104 @@ def within_budget(responses: DataFrame, size: Column, budget: int = 5_000_000, l
     """Responses before which the active bytes are under the budget; each counts at least `least`."""
     w = W.partitionBy(*(by or [])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return responses.withColumn("active_before", F.coalesce(F.sum(F.greatest(size, F.lit(least))).over(w), F.lit(0))).filter(F.col("active_before") < budget)
+
+
+class Store(Protocol):
+    """What a crawl needs of a queue; a store of another kind may take the place of Frontier."""
+
+    def push(self, requests: DataFrame, k: str) -> DataFrame: ...
+
+    def pop(self, k: int) -> DataFrame: ...
+
+    def has_pending(self) -> bool: ...
+
+    def stats(self) -> dict[str, int]: ...
+
+
+class Frontier:
+    """Requests of each round that are new, as tables `fresh/round=k` that are only ever added to: their
+    fingerprints are the seen set. With `admit`, a round takes that many of the highest priority and the others wait."""
+
+    def __init__(self, scratch: Scratch, admit: int = 0, filtered: bool = True):
+        self.scratch, self.admit, self.filtered = scratch, admit, filtered
+        self.rounds: list[str] = []
+        self.waiting: DataFrame | None = None
+        self.fresh: DataFrame | None = None
+        self.new = 0
+        self.counts = {"enqueued": 0, "dequeued": 0, "filtered": 0}
+
+    def resume(self, rounds: list[str], schema, waiting: str | None, counts: dict[str, int]) -> None:
+        """From the tables of an earlier run."""
+        self.rounds, self.counts = list(rounds), dict(counts)
+        self.waiting = self.scratch.spark.read.schema(schema).parquet(self.scratch.path(waiting)) if waiting else None
+
+    def seen(self) -> DataFrame | None:
+        """The fingerprints of what the filter let through."""
+        if not self.rounds:
+            return None
+        paths = [self.scratch.path(f"fresh/round={k}") for k in self.rounds]
+        return self.scratch.spark.read.schema("fp string, dont_filter boolean").parquet(*paths).filter("NOT coalesce(dont_filter, false)").select("fp")
+
+    def push(self, requests: DataFrame, k: str) -> DataFrame:
+        """What of these requests is new; it is in the queue now."""
+        came = Observation()
+        rows = requests.observe(came, F.count("*").alias("n"))
+        if self.filtered:
+            # those that pass the filter are groups of their own
+            rows = rows.withColumn("__own", F.when(F.coalesce("dont_filter", F.lit(False)), F.monotonically_increasing_id()))
+            rows = rows.groupBy("fp", "__own").agg(F.min_by(F.struct(*requests.columns), "seq").alias("r")).select("r.*")
+        seen = self.seen() if self.filtered else None
+        if seen is None:
+            self.fresh = self.scratch.keep(rows, f"fresh/round={k}")
+            total = came.get["n"]
+        else:
+            one = self.scratch.keep(rows, f"came/round={k}")
+            total = came.get["n"]
+            # the seen set is asked for the new fingerprints: it stays where it lies while those are few enough to be sent
+            known = seen.join(one.select("fp"), "fp", "left_semi").distinct().withColumn("__known", F.lit(True))
+            fresh = one.join(known, "fp", "left").filter("__known IS NULL OR coalesce(dont_filter, false)").drop("__known").select(*requests.columns)
+            self.fresh = self.scratch.keep(fresh, f"fresh/round={k}")
+            self.scratch.drop(f"came/round={k}")
+        self.rounds.append(k)
+        self.new = self.fresh.count()
+        self.counts["enqueued"] += self.new
+        self.counts["filtered"] += int(total) - self.new
+        return self.fresh
+
+    def pending(self) -> DataFrame | None:
+        """What is in the queue."""
+        if self.waiting is None or self.fresh is None:
+            return self.fresh if self.waiting is None else self.waiting
+        return self.waiting.unionByName(self.fresh)
+
+    def __len__(self) -> int:
+        df = self.pending()
+        return 0 if df is None else df.count()
+
+    def has_pending(self) -> bool:
+        if self.fresh is not None and self.new:
+            return True
+        return self.waiting is not None and not self.waiting.isEmpty()
+
+    def peek(self):
+        """The request that is next, or None."""
+        df = self.pending()
+        return None if df is None else next_requests(df, 1).first()
+
+    def pop(self, k: int) -> DataFrame:
+        """The requests of round k; they leave the queue."""
+        df = self.pending()
+        if not self.admit:
+            self.counts["dequeued"] += df.count()
+            self.fresh = self.waiting = None
+            return df
+        # by place in the order of popping: one write says which go and which wait
+        ranked = self.scratch.keep(df.join(next_requests(df, self.admit).select("seq", F.lit(True).alias("__go")).distinct(), "seq", "left"), f"ranked/round={k}")
+        take = ranked.filter("__go").drop("__go")
+        self.waiting, self.fresh = self.scratch.keep(ranked.filter("__go IS NULL").drop("__go"), f"waiting/round={k}"), None
+        self.counts["dequeued"] += take.count()
+        return take
+
+    def stats(self) -> dict[str, int]:
+        """D5, A8."""
+        return {"scheduler/enqueued": self.counts["enqueued"], "scheduler/dequeued": self.counts["dequeued"], "dupefilter/filtered": self.counts["filtered"]}

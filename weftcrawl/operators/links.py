@@ -1,4 +1,4 @@
-"""Link extraction (L1-L18): a projection of regular expressions where anchors are plain, an HTML parse where they are not, and
+"""Link extraction (L1-L18): a projection of regular expressions where a page's anchors are plain, an HTML parse where they are not, and
 predicates that Catalyst can push and reorder.
 
 links(...) gives one row for each link: the carried columns, pos, href, url, text, fragment, nofollow.
@@ -24,8 +24,6 @@ IGNORED_EXTENSIONS = (
     ".css .pdf .exe .bin .rss .dmg .iso .apk .jar .sh .rb .js .hta .bat .cpl .msi .msp .py"
 ).split()
 LINK_SCHEMES = ("http", "https", "file", "ftp")
-#: Domains up to this number are a predicate; more are a join.
-FEW_DOMAINS = 50
 
 
 @dataclass(frozen=True)
@@ -112,25 +110,35 @@ def on_domains(df: DataFrame, domains: DataFrame, url: str = "url", domain: str
     return df.withColumn("__host", urls.host(url)).join(hit, "__host", "left_semi" if keep_them else "left_anti").drop("__host")
 
 
-_ANCHOR = r"(?is)<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))[^>]*>(.*?)</a\s*>"
+_ANCHOR = r"(?is)<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'`=<]+))[^<>]*>([^<]*)</a\s*>"
+#: What the expressions do not decide: other tags with links, elements whose content is no markup, other references than the five.
+_HARD = r"(?is)<(?:area|base)\b|<a\s[^<>]*(?:[\w:.\-]href\b|=\s*(?:\"[^\"<>]*\bhref\b|'[^'<>]*\bhref\b))|<(title|textarea|noscript|iframe|template|xmp|noembed|noframes|svg|math|plaintext|select|frameset)\b[^>]*>[^<]*<a\b|<a(?:/|\s[^<>]*(?:<|\brel\s*=\s*[^\s\"'>]|\bhref\b[^>]*\bhref\b|/>))|&(?!amp;|lt;|gt;|quot;|#39;)[#A-Za-z]|<[^!/a-z\s]?!\[CDATA"
+_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+
+
+def plain(html) -> Column:
+    """Every link of the page is an anchor with an href and text alone, so that anchors() gives what a parse gives."""
+    h = F.regexp_replace(urls._col(html), _HIDDEN, "")
+    return F.coalesce((F.regexp_count(h, F.lit(r"(?i)<a(?=[\s>/])")) == F.regexp_count(h, F.lit(_ANCHOR))) & ~h.rlike(_HARD) & ~h.rlike(r"(?i)<(!--|script\b|style\b)"), F.lit(True))
 
 
 def anchors(html) -> Column:
-    """L4, L8, L9 without a parse, for plain anchors: array of (href, text, nofollow) in document order. Comments, scripts and
-    styles are cut out first."""
-    h = F.regexp_replace(urls._col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    tags = F.regexp_extract_all(h, F.lit(_ANCHOR), F.lit(0))
-    return F.filter(
-        F.transform(
-            tags,
-            lambda t: F.struct(
-                F.trim(entities(F.concat(F.regexp_extract(t, _ANCHOR, 1), F.regexp_extract(t, _ANCHOR, 2), F.regexp_extract(t, _ANCHOR, 3)))).alias("href"),
-                F.trim(entities(F.regexp_replace(F.regexp_extract(t, _ANCHOR, 4), "(?s)<[^>]*>", ""))).alias("text"),
-                F.regexp_extract(t, r"(?is)^<a\s([^>]*)>", 1).rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bnofollow\b").alias("nofollow"),
-            ),
+    """L4, L8, L9 without a parse, for plain() pages: array of (pos, href, text, nofollow) in document order. Comments, scripts
+    and styles are cut out first."""
+    tags = F.regexp_extract_all(F.regexp_replace(urls._col(html), _HIDDEN, ""), F.lit(_ANCHOR), F.lit(0))
+    found = F.transform(
+        tags,
+        lambda t: F.struct(
+            _trim(entities(F.regexp_replace(t, "^" + _ANCHOR + "$", "$1$2$3"))).alias("href"),
+            _trim(entities(F.regexp_replace(t, r"(?is)^<a\s[^>]*>|</a\s*>$", ""))).alias("text"),
+            t.rlike(r"(?is)^<a\s[^>]*\brel\s*=\s*(\"([^\">]*\s)?nofollow(\s[^\">]*)?\"|'([^'>]*\s)?nofollow(\s[^'>]*)?')").alias("nofollow"),
         ),
-        lambda x: x["href"] != "",
     )
+    return F.transform(F.filter(found, lambda x: x["href"] != ""), lambda x, i: F.struct(i.alias("pos"), x["href"].alias("href"), x["text"].alias("text"), x["nofollow"].alias("nofollow")))
+
+
+def _trim(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def entities(x: Column) -> Column:
@@ -157,10 +165,25 @@ def resolved(found: DataFrame, base: str, rule: LinkRule, carry: list[str]) -> D
     return df.select(*carry, "pos", "href", "url", "text", "fragment", "nofollow")
 
 
-def links(pages: DataFrame, rule: LinkRule = LinkRule(), url: str = "url", html: str = "html", carry: list[str] | None = None) -> DataFrame:
-    """L1 for pages with plain anchors. Uniqueness is by page, so a page's links are told apart by the carried columns."""
+def links(pages: DataFrame, rule: LinkRule = LinkRule(), url: str = "url", html: str = "html", carry: list[str] | None = None, parse: bool | None = None) -> DataFrame:
+    """L1. Pages whose anchors are plain are read by expressions, the others by one parse each; both give the same rows. A rule with
+    scopes (L3) or other tags and attributes (L18), or parse=True, has all pages parsed. Uniqueness is by page, so a page's links
+    are told apart by the carried columns."""
+    from ..functions.html import link_rows
+
     carry = carry or [url]
-    found = pages.select(*carry, F.col(url).alias("__url"), base_url(html, url).alias("__base"), F.posexplode(anchors(html)).alias("pos", "__a")).select(*carry, "__base", "pos", "__a.*")
+    own = rule.restrict_css or rule.restrict_xpath or tuple(rule.tags) != ("a", "area") or tuple(rule.attrs) != ("href",)
+    if own or parse:
+        found = pages.select(*carry, F.col(url).alias("__url"), F.explode(link_rows(html, rule)).alias("__a")).select(*carry, "__url", "__a.*")
+        found = found.withColumn("__base", F.when(F.col("base") == "", F.col("__url")).otherwise(urls.join("__url", "base")))
+    else:
+        page = pages.select(*carry, F.col(url).alias("__url"), F.col(html).alias("__html"))
+        # one value under one name, so that the page is looked at once
+        page = page.withColumn("__plain", F.explode(F.array(plain("__html"))))
+        page = page.withColumn("__hard", link_rows(F.when(~F.col("__plain"), F.col("__html")), rule))
+        hard = F.transform("__hard", lambda x: F.struct(x["pos"].alias("pos"), x["href"].alias("href"), x["text"].alias("text"), x["nofollow"].alias("nofollow")))
+        base = F.when(F.col("__plain") | (F.size("__hard") == 0), F.col("__url")).otherwise(F.when(F.get("__hard", F.lit(0))["base"] == "", F.col("__url")).otherwise(urls.join("__url", F.get("__hard", F.lit(0))["base"])))
+        found = page.select(*carry, base.alias("__base"), F.explode(F.when(F.col("__plain"), anchors("__html")).otherwise(hard)).alias("__a")).select(*carry, "__base", "__a.*")
     if url in carry:
         found = found.withColumnRenamed(url, "src_url")
         carry = ["src_url" if c == url else c for c in carry]
@@ -168,16 +191,22 @@ def links(pages: DataFrame, rule: LinkRule = LinkRule(), url: str = "url", html:
 
 
 def parsed_links(pages: DataFrame, rule: LinkRule = LinkRule(), url: str = "url", html: str = "html", carry: list[str] | None = None) -> DataFrame:
-    """L1 by an HTML parse: any tags and attributes (L18), scopes (L3) and text of nested elements. One parse for a page."""
-    from ..functions.html import link_rows
+    """L1 with every page parsed."""
+    return links(pages, rule, url, html, carry, parse=True)
 
-    carry = carry or [url]
-    found = pages.select(*carry, F.col(url).alias("__url"), F.explode(link_rows(html, rule)).alias("__a")).select(*carry, "__url", "__a.*")
-    found = found.withColumn("__base", F.when(F.col("base") == "", F.col("__url")).otherwise(urls.join("__url", "base")))
-    if url in carry:
-        found = found.withColumnRenamed(url, "src_url")
-        carry = ["src_url" if c == url else c for c in carry]
-    return resolved(found, "__base", rule, carry)
+
+class Extractor:
+    """What any link extractor has, links of pages and a test of a URL; this one goes by a rule."""
+
+    def __init__(self, rule: LinkRule = LinkRule()):
+        self.rule = rule
+
+    def extract(self, pages: DataFrame, carry: list[str]) -> DataFrame:
+        """(the carried columns, of which url is src_url; pos, href, url, text, fragment, nofollow)."""
+        return links(pages, self.rule, carry=carry)
+
+    def matches(self, url: Column) -> Column:
+        return matches(self.rule, url)
 
 
 def by_rules(pages: DataFrame, rules: list[LinkRule], url: str = "url", html: str = "html", content_type: str | None = None, parse: bool = False, key: str = "page_id") -> DataFrame:
@@ -186,10 +215,9 @@ def by_rules(pages: DataFrame, rules: list[LinkRule], url: str = "url", html: st
     if content_type:
         kind = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
         pages = pages.filter(F.col(content_type).isNull() | (F.col(content_type) == "") | kind.isin("text/html", "application/xhtml+xml"))
-    get = parsed_links if parse else links
     out = None
     for k, rule in enumerate(rules):
-        own = get(pages, rule, url, html, [key, url]).withColumn("rule", F.lit(k))
+        own = links(pages, rule, url, html, [key, url], parse=parse).withColumn("rule", F.lit(k))
         out = own if out is None else out.unionByName(own)
     first = F.row_number().over(W.partitionBy(key, "url").orderBy("rule", "pos"))
     return out.withColumn("__rn", first).filter("__rn = 1").drop("__rn")

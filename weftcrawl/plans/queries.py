@@ -11,7 +11,7 @@ from ..functions import headers as H
 from ..functions import html as X
 from ..functions import urls
 from ..operators import cache, crawl, downloader, export, filters, frontier, items, links, requests, robots, stats
-from .runtime import Scratch
+from .runtime import Scratch, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,7 +28,9 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; pages, which are dear to look at, on all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table == "pages" else df
 
 
 # SQL that several oracles share: canonical URLs, and links as the extractor gives them.
@@ -328,6 +330,10 @@ def close_after_n(spark, sf_dir):
     return stats.until(e, ["event_id"], {"errorcount": (F.col("event_type") == "error", 2), "pagecount": (F.lit(True), 5), "itemcount": (F.lit(True), 0)}, by=["user_id"]).select("user_id", "event_id")
 
 
+#: Crawls of tables: no robots files, cookies or encodings.
+PLAIN = {"ROBOTSTXT_OBEY": False, "COOKIES_ENABLED": False, "COMPRESSION_ENABLED": False, "HTTPPROXY_ENABLED": False, "DOWNLOADER_STATS": False, "STATS_DUMP": False}
+
+
 def _site(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A site made of the star schema: (pages with status and location, edges src_url -> url)."""
     t = {n: read(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "orders")}
@@ -366,8 +372,8 @@ def crawl_fixpoint(spark, sf_dir):
     pages, edges = _site(spark, sf_dir)
     scratch = Scratch(spark, "site")
     pages, edges = scratch.keep(pages, "pages"), scratch.keep(edges, "edges")
-    c = crawl.Crawl(spark, crawl.table_fetcher(pages), lambda ok: ok.select(F.col("url").alias("src_url"), "depth").join(edges, "src_url"), domains=["site.example"], scratch=scratch)
-    got = c.run(requests.seeds(spark, ["http://site.example/", "no url"]))
+    spider = crawl.Follow(requests.seeds(spark, ["http://site.example/", "no url"]), lambda ok: ok.select(F.col("url").alias("src_url"), "depth").join(edges, "src_url"), domains=["site.example"])
+    got = crawl.Crawl(spark, spider, crawl.table_fetcher(pages, scratch), PLAIN).run()
     return got.groupBy("url").agg(F.min("depth").cast("int").alias("depth"), F.max("status").alias("status"), F.count("*").alias("fetches"))
 
 

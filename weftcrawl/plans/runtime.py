@@ -38,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores: a table of fewer splits than cores is dealt out, a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage: a lost executor costs a reread, never a recomputation from the start.
 
@@ -58,7 +64,10 @@ class Scratch:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def keep(self, df: DataFrame, table: str) -> DataFrame:
+    def keep(self, df: DataFrame, table: str, few: bool = False) -> DataFrame:
+        """df as a table of the folder. few: as many files as there are cores at most, for tables that are small beside the input."""
+        if few:
+            df = df.coalesce(max(2, self.spark.sparkContext.defaultParallelism))
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
@@ -68,9 +77,33 @@ class Scratch:
             fs.delete(p, True)
 
     def has(self, table: str) -> bool:
-        p, fs = self._at(f"{self.path(table)}/_SUCCESS")
+        p, fs = self._at(self.path(table))
         return fs.exists(p)
 
+    def write_text(self, name: str, text: str) -> None:
+        """A small file, replaced as a whole."""
+        p, fs = self._at(self.path(name))
+        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}.new")
+        out = fs.create(fresh, True)
+        try:
+            out.write(text.encode())
+        finally:
+            out.close()
+        fs.delete(p, False)
+        fs.rename(fresh, p)
+
+    def read_text(self, name: str) -> str | None:
+        """That file, or where its replacement was cut short, the new one."""
+        for path in (self.path(name), f"{self.path(name)}.new"):
+            p, fs = self._at(path)
+            if fs.exists(p):
+                stream = fs.open(p)
+                try:
+                    return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+                finally:
+                    stream.close()
+        return None
+
     def spent(self) -> None:
         """Shuffle files that nothing refers to go once the driver's collector has seen it; after a large shuffle it is asked to look."""
         self.spark._jvm.System.gc()
