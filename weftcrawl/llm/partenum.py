@@ -51,9 +51,9 @@ ODD = [f"o{i}" for i in range(BITS // 64)]
 #: Sets over MANY elements have their parities over WIDE cells too, for pairs that are left.
 MANY, WIDE = 1000, 4096
 #: Signatures that a task holds before it deals them out; those that occur more than HOT times among them go to several tasks.
-HELD, HOT = 1 << 21, 1000
+HELD, HOT = 1 << 19, 1000
 #: Signatures and bucket rows of a task, and nodes of a bucket that are looked at together.
-SIGNED, ROWS, BLOCK = 1 << 21, 1 << 17, 4096
+SIGNED, ROWS, BLOCK = 1 << 20, 1 << 17, 4096
 #: Candidates up to this number are sent to the executors to pick their texts; more are joined. Equal sets that a task remembers.
 SENT, SEEN = 500_000, 200_000
 #: Rounds of nearest pairs, at most.
