@@ -12,8 +12,8 @@ made. That loses nothing: n1 is larger than the pigeonhole needs, and if a set's
 than what is to spare, one of the others is good for each similar set. A set that has more of them (one in a hundred) is also
 cut by the next of SEEDS hashes; two similar sets that both have are found there. Only by the last hash are all made.
 
-Equal sets are one node, and nodes that share a signature are a bucket. In a bucket each node is paired with the least one; each
-node's pair of the most buckets is compared, which brings groups of near copies together. Then, within buckets that hold several
+Equal sets are one node, and nodes that share a signature are a bucket. In a bucket each node is paired with the least one and
+compared, which brings groups of near copies together. Then, within buckets that hold several
 components, all pairs across components are looked at where they lie, by the parities of their sets over BITS cells: each
 element that only one set has flips one parity, so sets that differ in more parities than similar ones differ in elements are
 not similar. While many pairs are left, each node's nearest is compared; then all of them. Buckets of more than BLOCK nodes are
@@ -360,7 +360,7 @@ def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
         odd, size = odd[node], n[node]
         order = np.lexsort((mix((sid ^ cell).view(np.uint64)), cell))
         cell, block, single, c, node = cell[order], block[order], single[order], c[order], back[order]
-        few = len(ids) if whole else len(ids) // 4
+        few = len(ids) if whole else len(ids) // 2
         nearest, partner = np.full(len(ids), 1 << 40), np.zeros(len(ids), np.int64)
         found, held, all_of_them = [np.zeros(0, np.int64)], 0, True
         alive, d = np.arange(len(cell)), 0
@@ -429,9 +429,8 @@ class _Join:
         """known, of all links between the nodes of buckets (sig, sid, least)."""
         nodes = self.docs.join(bucket.select("sid").distinct(), "sid", "left_semi").join(first, ["sid", "key"], "left_semi")
         self.nodes = self.scratch.keep(nodes.dropDuplicates(["sid"]).select("sid", "key", "n", *ODD, "wide"), "nodes")
-        star = bucket.filter("sid <> least").groupBy("sid", "least").agg(F.count("*").alias("common"))
-        star = star.groupBy("sid").agg(F.max(F.struct("common", "least")).alias("best"))
-        self.compare(star.select(F.least("sid", "best.least").alias("u"), F.greatest("sid", "best.least").alias("v")))
+        # at most a pair for each row of a bucket: the least node of a group of near copies brings most of them together
+        self.compare(bucket.filter("sid <> least").select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v")).distinct())
         bucket, last, whole = bucket.select("sig", "sid"), "buckets", False
         while True:
             self.step += 1
