@@ -17,7 +17,7 @@ import numpy as np
 from .common import SPACE, Words, mix
 
 #: Arrow rows that are taken at once, parts and ids that a worker remembers, bytes of a part that is remembered.
-SLICE, PARTS, IDS, LONG = 1500, 2_000_000, 16_000_000, 64
+SLICE, PARTS, IDS, LONG = 1500, 1_000_000, 6_000_000, 64
 
 
 def _plain(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
