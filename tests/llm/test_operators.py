@@ -282,6 +282,16 @@ def test_quality_orders_by_rejections_per_cost(spark):
 
     rules = [quality.Rule("never", F.col("n_words") < 0), quality.Rule("often", F.col("n_words") > 10)]
     assert [r.name for r in quality.ordered(quality.counts(rows, carry=["doc_id"]), rules, Scratch(spark, "t8"))] == ["often", "never"]
+    clash = rows.selectExpr("doc_id", "text", "1 AS n_words", "2 AS on_words", "3 AS kept")
+    out = quality.cascade(clash, rules, Scratch(spark, "t8"), carry=["n_words", "on_words", "kept", "text"])
+    assert out.columns == ["doc_id", "on_words", *quality.COUNTS, "base_failed", "kept"]
+
+
+def test_quality_order_against_all_orders():
+    """The first rule is worth most, and each next one among what is left; equal ones stay in order."""
+    verdicts = [([True, True, False], 50), ([False, True, False], 5), ([False, False, True], 20), ([False, False, False], 100)]
+    assert quality.order(verdicts, [1.0, 1.5, 1.0]) == [0, 2, 1] and quality.order(verdicts, [1.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.order([([False, False], 9)], [1.0, 2.0]) == [0, 1]
 
 
 def test_suffix_tree_base_and_sum(spark, docs):
@@ -304,6 +314,44 @@ def test_suffix_tree_base_and_sum(spark, docs):
     assert suffix_tree.score(docs.limit(0), train, Scratch(spark, "t10")).count() == 0
 
 
+def test_suffix_tree_rebuilt_from_counts(spark, docs):
+    """Counts, divergence test and smoothing as plain loops over all contexts."""
+    depth, least, gain = 3, 5, 4.0
+    model = suffix_tree.learn(docs, Scratch(spark, "t10"), depth=depth, gain=gain, least=least)
+    counts = {d: Counter() for d in range(depth + 1)}
+    for r in docs.collect():
+        s = b"\n" * depth + b"".join(w.encode() + b" " for w in words((r["text"] or "").translate(LOWER))) + b"\n"
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                counts[d][s[i - d : i], s[i]] += 1
+    seen = sorted({x for _, x in counts[0]} | {10})
+    nexts = {d: {} for d in counts}
+    for d, c in counts.items():
+        for (ctx, x), n in c.items():
+            nexts[d].setdefault(ctx, {})[x] = n
+    probability, keep = {}, {b""}
+    for d in range(depth + 1):
+        for ctx, n in nexts[d].items():
+            total = sum(n.values())
+            if d and total < least:
+                continue
+            up = probability[ctx[1:]] if d else {x: 1 / 256 for x in seen}
+            back = len(n) / (total + len(n))
+            probability[ctx] = {x: up[x] * back + n.get(x, 0) / (total + len(n)) for x in seen}
+            if d and (d < suffix_tree.ROOT or sum(c * math.log(c / total / up[x]) for x, c in n.items()) >= gain):
+                keep |= {ctx[len(ctx) - e :] for e in range(1, d + 1)}
+    assert set(model.contexts) == keep and len(keep) > 30
+    for i, ctx in enumerate(model.contexts):
+        assert np.allclose([10.0 ** model.logp[i, model.classes[x]] for x in seen], [probability[ctx][x] for x in seen], rtol=1e-4)
+
+
+def test_suffix_tree_limits_and_clashes(spark, docs):
+    rows = docs.selectExpr("doc_id", "text", "1 AS score", "2 AS known", "3 AS rare", "4 AS n_tokens")
+    few, all_of = (suffix_tree.score(rows, rows, Scratch(spark, "t10"), carry=["score", "known", "rare", "n_tokens"], depth=d, least=n, gain=g) for d, n, g in ((1, 16, 8.0), (7, 1, 0.0)))
+    assert few.columns == ["doc_id", "known", "rare", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert all_of.agg({"score": "sum"}).first()[0] > 0.8 * few.agg({"score": "sum"}).first()[0]
+
+
 def test_suffix_tree_against_walk(spark, docs):
     """Every distribution sums to one, and a text's score is that of a walk over its symbols with the longest suffix state."""
     model = suffix_tree.learn(docs, Scratch(spark, "t10"), depth=3, share=1e-3, gain=1.0)

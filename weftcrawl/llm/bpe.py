@@ -5,7 +5,9 @@ hold list positions. A two-level bitmap marks the buckets in use, so that find-f
 pair has changed since is stale and skipped. The different pre-tokens of a batch lie in one array and share the queue, so a
 rank is taken for many of them at once; a pre-token of any length takes n log n.
 
-Nulls and empty texts have no ids and decode to no bytes. Repeated rows stay. Other columns pass through.
+Nulls and empty texts have no ids and decode to no bytes. Very long texts are encoded whole, in memory at once. Of equal ranks the
+leftmost pair merges first. Repeated rows stay; an empty table gives no rows. Other columns pass through, but for one named like
+the new one, which gives way.
 """
 
 from __future__ import annotations

@@ -1,10 +1,13 @@
 """Quality rules as a short-circuit cascade (operator 8), in DataFrame and SQL functions only.
 
 A rule is a condition on a text or its counts that rejects a document. Cost and selectivity of each rule are estimated on a
-bounded sample; the cascade asks the rules in descending order of rejections per cost and stops at the first that rejects.
-The order changes what a document costs, never the verdict.
+bounded sample of documents that pass the base rules, as only those are asked. The cascade begins with the rule of the most
+rejections per cost; next comes the one with the most among what the rules before it leave, and so on. It stops at the first
+rule that rejects. The order changes what a document costs, never the verdict; rules of equal worth stay in the given order.
 
-Null and empty texts have no words, and so fail the base rules. Repeated rows are judged each.
+Null and empty texts have no words, and so fail the base rules. Very long texts are counted whole, in memory at once. Repeated
+rows are judged each. An empty table gives no rows, and the given order. A carried column named like a new one, or `text`, gives
+way to it.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
-from .common import GAP, WORD, sampled
+from .common import GAP, WORD, carried, sampled
 
-#: Rows of the sample on which costs and selectivities are estimated.
+#: Rows of the sample, before the base rules, on which costs and selectivities are estimated.
 SAMPLE = 2000
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -51,20 +54,24 @@ def _repeated(w: str) -> str:
     return f"CASE WHEN size({w}) < 4 THEN 0L ELSE element_at(transform(array({masks}), m -> {inner}), 1) END"
 
 
+COUNTS = ["text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def counts(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns in carry, text, n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
+    carry = carried(carry, COUNTS)
     # one evaluation of the words for what is counted on them: an element of an array of one is a name for its value
-    over = f"element_at(transform(array(regexp_extract_all(text, {sql_string(WORD)}, 0)), w -> named_struct('n', bigint(size(w)), 'r', {_repeated('w')})), 1)"
-    lines = f"element_at(transform(array(filter(split(text, '\\n'), l -> l RLIKE {sql_string(WORD)})), l -> bigint(size(l) - size(array_distinct(l)))), 1)"
-    df = df.select(*(carry or []), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("on_words", F.expr(over))
+    over = f"element_at(transform(array(regexp_extract_all(__text, {sql_string(WORD)}, 0)), w -> named_struct('n', bigint(size(w)), 'r', {_repeated('w')})), 1)"
+    lines = f"element_at(transform(array(filter(split(__text, '\n'), l -> l RLIKE {sql_string(WORD)})), l -> bigint(size(l) - size(array_distinct(l)))), 1)"
+    df = df.select(*carry, F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("__on_words", F.expr(over))
     return df.select(
-        *(carry or []),
-        "text",
-        F.col("on_words.n").alias("n_words"),
-        F.length(F.regexp_replace("text", GAP, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        *carry,
+        F.col("__text").alias("text"),
+        F.col("__on_words.n").alias("n_words"),
+        F.length(F.regexp_replace("__text", GAP, "")).cast("long").alias("word_chars"),
+        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.expr(lines).alias("n_dup_lines"),
-        F.col("on_words.r").alias("n_repeat_words"),
+        F.col("__on_words.r").alias("n_repeat_words"),
     )
 
 
@@ -88,24 +95,35 @@ def rules() -> list[Rule]:
 
 
 def ordered(sample: DataFrame, rules: list[Rule], scratch: Scratch) -> list[Rule]:
-    """The rules by rejections per cost on a sample with counts(), most first."""
-    some = scratch.keep(sample, "sample")
+    """The rules by rejections per cost on a sample with counts(), each among what those before it leave."""
+    some = scratch.keep(sample, "sample", few=True)
 
-    def run(c: Column) -> tuple[float, int]:
+    def run(c: Column) -> float:
         began = time.perf_counter()
-        n = some.agg(F.count_if(c)).first()[0]
-        return time.perf_counter() - began, n
-
+        some.agg(F.count_if(c)).first()
+        return time.perf_counter() - began
+
+    # a row for each set of rules that reject together: no more than the rows of the sample
+    verdicts = some.groupBy(F.array(*(F.coalesce(r.reject, F.lit(False)) for r in rules)).alias("v")).count().collect()
+    if not verdicts or not rules:
+        scratch.drop("sample")
+        return list(rules)
     run(F.lit(True))
-    idle, rows = min(run(F.col("n_words") >= 0) for _ in range(2))
-    if not rows:
-        return rules
-    found = []
-    for r in rules:
-        cost, rejected = min(run(F.coalesce(r.reject, F.lit(False))) for _ in range(2))
-        found.append((rejected / rows / max(cost - idle, 1e-4), r))
+    idle = min(run(F.col("n_words") >= 0) for _ in range(2))
+    costs = [max(min(run(F.coalesce(r.reject, F.lit(False))) for _ in range(2)) - idle, idle / 50) for r in rules]
     scratch.drop("sample")
-    return [r for _, r in sorted(found, key=lambda x: -x[0])]
+    return [rules[i] for i in order([(r["v"], r["count"]) for r in verdicts], costs)]
+
+
+def order(verdicts: list[tuple[list[bool], int]], costs: list[float]) -> list[int]:
+    """Places of the rules in the order to ask them. verdicts: which rules reject, of how many documents."""
+    out, left = [], list(range(len(costs)))
+    while left:
+        best = max(left, key=lambda i: sum(n for v, n in verdicts if v[i]) / costs[i])
+        out.append(best)
+        left.remove(best)
+        verdicts = [(v, n) for v, n in verdicts if not v[best]]
+    return out
 
 
 def first_rejection(rules: list[Rule]) -> Column:
@@ -118,6 +136,7 @@ def first_rejection(rules: list[Rule]) -> Column:
 
 def cascade(df: DataFrame, rules: list[Rule], scratch: Scratch, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """counts() with base_failed and kept; kept is the cascade's verdict on what has not failed the base rules."""
-    carry = [key, *(c for c in carry or [] if c != key)]
-    order = ordered(counts(sampled(df, SAMPLE, key), text, carry), rules, scratch)
-    return counts(df, text, carry).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & first_rejection(order).isNull())
+    carry = carried([key, *(carry or [])], [*COUNTS, "base_failed", "kept"])
+    asked = counts(sampled(df, SAMPLE, key), text, carry).filter(~base_failed())
+    chosen = ordered(asked, rules, scratch)
+    return counts(df, text, carry).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & first_rejection(chosen).isNull())
