@@ -128,7 +128,7 @@ class Frontier:
             rows = rows.groupBy("fp", "__own").agg(F.min_by(F.struct(*requests.columns), "seq").alias("r")).select("r.*")
         seen = self.seen() if self.filtered else None
         if seen is None:
-            self.fresh = self.scratch.keep(rows, f"fresh/round={k}")
+            fresh = self.scratch.keep(rows, f"fresh/round={k}")
             total = came.get["n"]
         else:
             one = self.scratch.keep(rows, f"came/round={k}")
@@ -136,13 +136,15 @@ class Frontier:
             # the seen set is asked for the new fingerprints: it stays where it lies while those are few enough to be sent
             known = seen.join(one.select("fp"), "fp", "left_semi").distinct().withColumn("__known", F.lit(True))
             fresh = one.join(known, "fp", "left").filter("__known IS NULL OR coalesce(dont_filter, false)").drop("__known").select(*requests.columns)
-            self.fresh = self.scratch.keep(fresh, f"fresh/round={k}")
+            fresh = self.scratch.keep(fresh, f"fresh/round={k}")
             self.scratch.drop(f"came/round={k}")
         self.rounds.append(k)
-        self.new = self.fresh.count()
-        self.counts["enqueued"] += self.new
-        self.counts["filtered"] += int(total) - self.new
-        return self.fresh
+        new = fresh.count()
+        self.counts["enqueued"] += new
+        self.counts["filtered"] += int(total) - new
+        # what came before and was not taken yet stays
+        self.fresh, self.new = (fresh, new) if self.fresh is None else (self.fresh.unionByName(fresh), self.new + new)
+        return fresh
 
     def pending(self) -> DataFrame | None:
         """What is in the queue."""

@@ -289,10 +289,10 @@ def pipeline_drop(spark, sf_dir):
     return kept.agg(F.count("*").alias("n")).select(F.lit("kept").alias("stage"), "n").unionByName(lost.groupBy(F.concat_ws("/", "stage", "kind").alias("stage")).agg(F.count("*").alias("n")))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user: ' || substr(text, 1, 20) ELSE text END AS text FROM conversations WHERE NOT (role = 'assistant' AND length(text) < 100)""")
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user: ' || text ELSE text END AS text FROM conversations WHERE NOT (role = 'assistant' AND length(text) < 100)""")
 def typed_route(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").withColumn("_type", F.col("role"))
-    stages = [items.Stage("users", lambda df: df.withColumn("text", F.concat(F.lit("user: "), F.substring("text", 1, 20))), type="user"), items.Stage("answers", drop=F.length("text") < 100, type="assistant")]
+    stages = [items.Stage("users", lambda df: df.withColumn("text", F.concat(F.lit("user: "), "text")), type="user"), items.Stage("answers", drop=F.length("text") < 100, type="assistant")]
     return items.through(c, stages)[0].select("conv_id", "turn", "text")
 
 
