@@ -52,7 +52,7 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(u, v): each node with an edge but the least of its component, and that least node. edges: (u, v), longs, u <> v."""
-    now = scratch.keep(edges.select("u", "v").distinct(), f"{name}-0")
+    now = scratch.keep(edges.select("u", "v").distinct(), f"{name}-0", few=True)
     before, k = None, 0
     while True:
         n, sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -60,7 +60,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
             return now
         before, k = (n, sign), k + 1
         last = n <= FEW
-        after = scratch.keep(now.coalesce(1).mapInArrow(_together, "u long, v long") if last else _small(_large(now)), f"{name}-{k}")
+        after = scratch.keep(now.coalesce(1).mapInArrow(_together, "u long, v long") if last else _small(_large(now)), f"{name}-{k}", few=True)
         scratch.drop(f"{name}-{k - 1}")
         now = after
         if last:
@@ -81,6 +81,6 @@ def contracted(edges: DataFrame, known: DataFrame | None, scratch: Scratch, name
     else:
         moved = known.join(new.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left")
         out = moved.select("u", F.coalesce("root", "v").alias("v")).unionByName(new.select("u", "v"))
-    out = scratch.keep(out, name)
+    out = scratch.keep(out, name, few=True)
     scratch.drop(*(f"{steps}-{k}" for k in range(2)))
     return out

@@ -191,7 +191,7 @@ def sample(docs: DataFrame, labels: DataFrame, scratch: Scratch, text: str = "te
     # at most 2 * texts ids of each label: small enough to be sent to all
     some = labels.filter(h < share).withColumn("h", h).orderBy("h", key).limit(2 * texts * max(1, len(counts)))
     rows = docs.select(key, F.col(text).alias("t")).filter(F.col("t").isNotNull()).join(F.broadcast(some), key).select("t", "y")
-    rows = scratch.keep(rows, "sample")
+    rows = scratch.keep(rows.repartition(8), "sample")
     have = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     weight = F.coalesce(*(F.when(F.col("y") == r["y"], F.lit(r["count"] / max(1, have.get(r["y"], 0)))) for r in counts), F.lit(1.0))
     return rows.withColumn("weight", weight)
