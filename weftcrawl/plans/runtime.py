@@ -61,13 +61,17 @@ class Scratch:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def files(self, rows: int) -> int:
+        """Files for a table that is made of so many rows: no more than there are cores, but for half a million rows each."""
+        return max(2, self.spark.sparkContext.defaultParallelism, rows >> 19)
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def keep(self, df: DataFrame, table: str, few: bool = False) -> DataFrame:
-        """df as a table of the folder. few: as many files as there are cores at most, for tables that are small beside the input."""
-        if few:
-            df = df.coalesce(max(2, self.spark.sparkContext.defaultParallelism))
+    def keep(self, df: DataFrame, table: str, files: int = 0) -> DataFrame:
+        """df as a table of the folder, in so many files at most."""
+        if files:
+            df = df.coalesce(files)
         df.write.mode("overwrite").parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
