@@ -171,8 +171,10 @@ def test_cache(spark):
     assert all(r["stale"] for r in out)
     r = spark.createDataFrame([("a",), ("b",), ("c",)], "fp string")
     e = spark.createDataFrame([("a", 1.0, 200), ("a", 5.0, 304), ("b", 1.0, 200)], "fp string, ts double, status int")
-    hits, misses = cache.lookup(r, e, now=8.0, expire=4.0)
-    assert [(x["fp"], x["cached"]["status"]) for x in hits.collect()] == [("a", 304)] and sorted(x["fp"] for x in misses.collect()) == ["b", "c"]
+    found = {x["fp"]: x["cached"] and x["cached"]["status"] for x in cache.lookup(r, e, now=8.0, expire=4.0).collect()}
+    assert found == {"a": 304, "b": None, "c": None}
+    none = cache.lookup(r.withColumn("no", F.lit(True)), e, dont_cache="no").filter("cached IS NOT NULL")
+    assert none.count() == 0
     v = spark.createDataFrame([(304, {"A": ["b"]}), (500, {"Cache-Control": ["must-revalidate"]}), (200, None)], "status int, h map<string,array<string>>")
     assert [x[0] for x in v.select(cache.outcome(F.col("status"), F.col("h"), F.lit(True))).collect()] == ["revalidate", "invalidate", "store"]
 
@@ -387,3 +389,23 @@ def test_pages_of_any_depth(spark):
     assert rows[0]["s"]["p"][0]["text"] == "end" and rows[0]["s"]["d"][0]["html"].count("<div>") == 3000 and rows[0]["s"]["p"][0]["html"] == '<p class="k">end</p>'
     assert rows[1]["s"]["p"][0]["html"] == "<p>a&amp;b<script>1<2</script></p>"
     assert df.select(X.select("html", {"d": "div"}).alias("s")).first()["s"]["d"][0]["html"] is None
+
+
+def test_running_totals_over_a_whole_table(spark):
+    """Without groups, sums and limits are those of one ordered sequence, though no task has all of it."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.randint(0, 3000), rng.random() < 0.1) for i in range(400)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "seq int, size int, bad boolean").repartition(5)
+    got = {r["seq"]: r["active_before"] for r in frontier.within_budget(df, F.col("size"), 10**9).collect()}
+    total = 0
+    for seq, size, _ in rows:
+        assert got[seq] == total
+        total += max(size, 1024)
+    assert frontier.within_budget(df, F.col("size"), 5000).count() == sum(1 for v in got.values() if v < 5000)
+    errors = [seq for seq, _, bad in rows if bad]
+    out = stats.until(df, ["seq"], {"errorcount": (F.col("bad"), 3), "pagecount": (F.lit(True), 1000)}).orderBy("seq").collect()
+    assert [r["seq"] for r in out] == list(range(errors[2] + 1)) and out[-1]["close_reason"] == "closespider_errorcount" and out[0]["close_reason"] is None
+    plan = stats.until(df, ["seq"], {"errorcount": (F.col("bad"), 3)})._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan

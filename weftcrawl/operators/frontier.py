@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..plans.runtime import Scratch
+from ..plans.runtime import Scratch, running
 
 
 def first_seen(requests: DataFrame, seen: DataFrame | None = None, fp: str = "fp", seq: str = "seq", bypass: str | None = "dont_filter") -> DataFrame:
@@ -78,8 +78,7 @@ def start_times(requests: DataFrame, delay: float, by: str = "slot", order: str
 
 def within_budget(responses: DataFrame, size: Column, budget: int = 5_000_000, least: int = 1024, by: list[str] | None = None, order: str = "seq") -> DataFrame:
     """Responses before which the active bytes are under the budget; each counts at least `least`."""
-    w = W.partitionBy(*(by or [])).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return responses.withColumn("active_before", F.coalesce(F.sum(F.greatest(size, F.lit(least))).over(w), F.lit(0))).filter(F.col("active_before") < budget)
+    return running(responses, [order], {"active_before": F.greatest(size, F.lit(least))}, by).filter(F.col("active_before") < budget)
 
 
 class Store(Protocol):

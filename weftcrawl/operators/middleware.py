@@ -283,9 +283,8 @@ class HttpCache(Middleware):
         if entries is None:
             rows = requests.withColumn("cached", none)
         else:
-            live = entries.filter(F.col("ts") >= self.now - self.expire) if self.expire > 0 else entries
-            last = live.groupBy("fp").agg(F.max_by(F.struct("status", "headers", "body", "ts"), "ts").alias("cached"))
-            rows = requests.join(last, "fp", "left").withColumn("cached", F.when(~flag("dont_cache"), F.col("cached")))
+            entries = entries.select("fp", "status", "headers", "body", "ts")
+            rows = cache.lookup(requests.withColumn("__not", flag("dont_cache")), entries, self.now, self.expire, dont_cache="__not").drop("__not")
         rows = fated(rows, F.col("cached").isNotNull() & self.policy.is_fresh(self.now), "cached")
         if self.missing:
             rows = fated(rows, F.col("cached").isNull(), "uncached")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.runtime import running
+
 
 def counters(events: DataFrame, prefix: str, dimension: str, value: Column | None = None) -> DataFrame:
     """(key, value) of a prefix's total and of each value of a dimension, by one rollup."""
@@ -52,16 +54,14 @@ def until(events: DataFrame, order: list[str], limits: dict[str, tuple[Column, i
     """T-2: events up to and with the one that meets the first of the limits (name: condition that counts, number). 0: none.
 
     by: independent crawls; each is one ordered sequence."""
-    w = W.partitionBy(*(by or [])).orderBy(*order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    open_ = F.lit(True)
-    reason = F.lit(None).cast("string")
-    for name, (c, n) in limits.items():
-        if n > 0:
-            hit = c.cast("int")
-            open_ = open_ & (F.coalesce(F.sum(hit).over(before), F.lit(0)) < n)
-            reason = F.coalesce(reason, F.when((F.coalesce(F.sum(hit).over(before), F.lit(0)) + hit) >= n, F.lit(f"closespider_{name}")))
-    return events.withColumns({"__open": open_, "close_reason": reason}).filter("__open").drop("__open")
+    real = {name: (c, n) for name, (c, n) in limits.items() if n > 0}
+    hits = {name: F.coalesce(c, F.lit(False)).cast("int") for name, (c, _) in real.items()}
+    rows = running(events, order, {f"__before_{name}": c for name, c in hits.items()}, by)
+    open_, reason = F.lit(True), F.lit(None).cast("string")
+    for name, (_, n) in real.items():
+        open_ = open_ & (F.col(f"__before_{name}") < n)
+        reason = F.coalesce(reason, F.when(F.col(f"__before_{name}") + hits[name] >= n, F.lit(f"closespider_{name}")))
+    return rows.withColumn("close_reason", reason).filter(open_).drop(*(f"__before_{name}" for name in real))
 
 
 def final_rates(stats: DataFrame, elapsed: str = "elapsed_time_seconds") -> DataFrame:

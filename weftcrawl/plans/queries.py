@@ -260,7 +260,7 @@ def cache_freshness(spark, sf_dir):
     extra = F.when(k == 0, one("Cache-Control", F.concat(F.lit("public, Max-Age="), (c * 1_000_000).cast("string")))).when(k == 1, one("Expires", date(d + c * 86_400))).when(k == 2, one("Last-Modified", date(d - c * 86_400))).otherwise(one("X", F.lit("")))
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k == 3, 301).otherwise(200).alias("status"), F.map_from_entries(F.array(one("Date", date(d)), extra)).alias("headers"))
     now = F.lit(_NOW)
-    return o.select("o_orderkey", cache.freshness(F.col("status"), F.col("headers"), now).alias("freshness"), cache.age(F.col("headers"), now).alias("age"), cache.is_fresh(F.col("status"), F.col("headers"), now).alias("fresh"))
+    return o.select("o_orderkey", F.inline(F.array(cache.assessed(F.col("status"), F.col("headers"), now))))
 
 
 @query(f"""WITH {CANON}, e AS (SELECT sha1('GET|' || canonical) AS fp, max(page_id) AS cached_page FROM canon WHERE page_id % 3 = 0 GROUP BY 1)
@@ -268,8 +268,7 @@ SELECT page_id, coalesce(cached_page, -1) AS cached_page FROM canon LEFT JOIN e
 def cache_lookup(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", "url", urls.simple_fingerprint("url").alias("fp"))
     entries = p.filter("page_id % 3 = 0").select("fp", F.col("page_id").alias("ts"), F.col("page_id").alias("cached_page"))
-    hits, misses = cache.lookup(p, entries)
-    return hits.select("page_id", "cached.cached_page").unionByName(misses.select("page_id", F.lit(-1).cast("long").alias("cached_page")))
+    return cache.lookup(p, entries).select("page_id", F.coalesce("cached.cached_page", F.lit(-1).cast("long")).alias("cached_page"))
 
 
 @query("""SELECT doc_id, CASE WHEN coalesce(lang, '') = 'en' THEN 'unknown' ELSE lang END AS lang, (coalesce(n_chars, 0) = 0)::INTEGER + (doc_id = 0)::INTEGER AS n_errors

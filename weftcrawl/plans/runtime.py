@@ -8,7 +8,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
 
@@ -44,6 +46,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """df with the sum of each value over the rows before a row, in an order; `by`: in each group.
+
+    Without groups no task has all rows: ranges of the order are summed first, and each range begins with what the ones before
+    it have. The ranges are written, so that both passes see the same."""
+    if by:
+        before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()})
+    rows = df.select("*", *(c.alias(f"__v{i}") for i, c in enumerate(sums.values()))).repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    rows = Scratch(df.sparkSession, "running").keep(rows, "ranges")
+    each = rows.groupBy("__range").agg(*(F.sum(f"__v{i}").alias(f"__v{i}") for i in range(len(sums)))).orderBy("__range").collect()
+    starts, total = [], [0] * len(sums)
+    for r in each:
+        starts.append((r["__range"], *total))
+        total = [t + (r[f"__v{i}"] or 0) for i, t in enumerate(total)]
+    kinds = ", ".join(f"__s{i} {'double' if isinstance(rows.schema[f'__v{i}'].dataType, T.FractionalType) else 'long'}" for i in range(len(sums)))
+    # a row for each partition
+    table = df.sparkSession.createDataFrame(starts, f"__range int, {kinds}")
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(table), "__range").withColumns({n: F.col(f"__s{i}") + F.coalesce(F.sum(f"__v{i}").over(within), F.lit(0)) for i, n in enumerate(sums)})
+    return out.drop("__range", *(f"__v{i}" for i in range(len(sums))), *(f"__s{i}" for i in range(len(sums))))
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage: a lost executor costs a reread, never a recomputation from the start.
 

@@ -1,4 +1,4 @@
-"""A single JSON array or XML document of any size (X1, X4): tasks write parts, the driver joins bytes, never rows."""
+"""A single JSON array or XML document of any size (X1, X4): tasks write parts, the driver's JVM joins their bytes, never rows."""
 
 from __future__ import annotations
 
@@ -8,34 +8,26 @@ from pyspark.sql import DataFrame
 
 
 def write_document(lines: DataFrame, path: str, ends: tuple[str, str, str], overwrite: bool) -> None:
-    """lines: one column `value`. ends: what opens, separates and closes. The parts are written by Spark next to the target and
-    streamed into it in order."""
+    """lines: one column `value`. ends: what opens, separates and closes; lines without a separator have one of their own. The parts
+    are written by Spark next to the target, each line with the separator behind it, and copied into it in order without the last."""
     spark = lines.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out = jvm.org.apache.hadoop.fs.Path(path)
     fs = out.getFileSystem(conf)
     if fs.exists(out) and not overwrite:
         raise FileExistsError(f"{path}: a document can't be appended to")
+    between = ends[1] or "\n"
     parts = f"{path}.parts-{uuid.uuid4().hex}"
-    lines.write.option("lineSep", "\u0001").text(parts)
+    lines.write.option("lineSep", between).text(parts)
     folder = jvm.org.apache.hadoop.fs.Path(parts)
     try:
+        found = sorted((s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda s: s.getPath().getName())
         stream = fs.create(out, True)
         stream.write(bytearray(ends[0].encode()))
-        between = b""
-        for status in sorted(fs.listStatus(folder), key=lambda s: s.getPath().getName()):
-            left = status.getLen() if status.getPath().getName().startswith("part-") else 0
-            if not left:
-                continue
-            stream.write(bytearray(between))
-            reader = fs.open(status.getPath())
-            while left:
-                data = bytes(reader.readNBytes(min(left, 1 << 20)))
-                left -= len(data)
-                # a mark follows each line: the last one of a part is written before the next part
-                stream.write(bytearray((data if left else data[:-1]).replace(b"\x01", ends[1].encode())))
+        for s in found:
+            reader = fs.open(s.getPath())
+            jvm.org.apache.commons.io.IOUtils.copyLarge(reader, stream, 0, s.getLen() - (len(between.encode()) if s is found[-1] else 0))
             reader.close()
-            between = ends[1].encode()
         stream.write(bytearray(ends[2].encode()))
         stream.close()
     finally:
