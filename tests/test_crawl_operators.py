@@ -409,3 +409,20 @@ def test_running_totals_over_a_whole_table(spark):
     assert [r["seq"] for r in out] == list(range(errors[2] + 1)) and out[-1]["close_reason"] == "closespider_errorcount" and out[0]["close_reason"] is None
     plan = stats.until(df, ["seq"], {"errorcount": (F.col("bad"), 3)})._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_queues_jitter_and_stores(spark):
+    q = spark.createDataFrame([(1, 5), (2, 9), (3, 5)], "seq int, priority int")
+    get = lambda **k: [r["seq"] for r in frontier.next_requests(q, 2, **k).collect()]
+    assert get() == [2, 3] and get(priority=None) == [3, 2] and get(priority=None, fifo=True) == [1, 2]
+    df = spark.createDataFrame([("a", i, 0.0) for i in range(50)] + [("b", 1, 7.0)], "slot string, seq int, at double")
+    starts = [r["start_s"] for r in frontier.start_times(df, 2.0, jitter=True, arrival="at").orderBy("slot", "seq").collect()]
+    gaps = [b - a for a, b in zip(starts[:50], starts[1:50], strict=False)]
+    assert starts[0] == 0.0 and starts[50] == 7.0 and all(1.0 <= g <= 3.0 for g in gaps) and len(set(gaps)) > 20
+    kept = []
+    export.STORES["mem"] = lambda rows, feed: kept.append((feed.uri, rows.count()))
+    try:
+        assert export.write(df, export.Feed("mem://x", "jsonlines"))["items"] == 51 and kept == [("mem://x", 51)]
+        assert export.fan_out(df, [export.Feed("mem://%(name)s"), export.Feed("/x", "none")], "s")["feedexport/error//x"].startswith("ValueError")
+    finally:
+        export.STORES.clear()

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 FORMATS = {"json": "json", "jsonlines": "jsonlines", "jsonl": "jsonlines", "jl": "jsonlines", "csv": "csv", "xml": "xml", "parquet": "parquet"}
 #: Of a column; unknown names change nothing.
 SERIALIZERS: dict[str, Callable[[Column], Column]] = {"to_upper": F.upper, "to_lower": F.lower, "to_int": lambda c: c.try_cast("bigint"), "to_string": lambda c: c.cast("string"), "trim": F.trim}
+#: Formats and stores of one's own: functions of the rows and the feed, by format and by the URI's scheme.
 WRITERS: dict[str, Callable] = {}
+STORES: dict[str, Callable] = {}
 
 
 @dataclass
@@ -135,7 +137,9 @@ def write(items: DataFrame, feed: Feed) -> dict[str, int]:
     seen = Observation()
     rows = rows.observe(seen, F.count("*").alias("items"))
     mode = "overwrite" if feed.overwrite else "append"
-    if kind in WRITERS:
+    if urlparse(feed.uri).scheme in STORES:
+        STORES[urlparse(feed.uri).scheme](rows, feed)
+    elif kind in WRITERS:
         WRITERS[kind](rows, feed)
     elif where == "stdout":
         print(document(rows, kind, feed), end="")

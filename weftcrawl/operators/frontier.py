@@ -41,10 +41,12 @@ def with_fingerprint(requests: DataFrame, url: str = "url", method: str | None =
     return requests.withColumn("fp", urls.fingerprint(url, method, body, headers))
 
 
-def next_requests(queue: DataFrame, k: int, priority: str = "priority", seq: str = "seq", memory: str | None = None) -> DataFrame:
-    """The k of highest priority, the latest first among equals; those in memory before those on disk."""
+def next_requests(queue: DataFrame, k: int, priority: str | None = "priority", seq: str = "seq", memory: str | None = None, fifo: bool = False) -> DataFrame:
+    """The k of highest priority, if there is one, the latest first among equals, or with fifo the earliest; those in
+    memory before those on disk."""
     order = [F.col(memory).desc()] if memory else []
-    return queue.orderBy(*order, F.col(priority).desc(), F.col(seq).desc()).limit(k)
+    order += [F.col(priority).desc()] if priority else []
+    return queue.orderBy(*order, F.col(seq).asc() if fifo else F.col(seq).desc()).limit(k)
 
 
 def popped_rank(priority: str = "priority", seq: str = "seq", by: list[str] | None = None) -> Column:
@@ -65,15 +67,17 @@ def admitted(queue: DataFrame, slots: int = 8, total: int = 16, by: str = "slot"
     return queue.withColumn("slot_rank", rank).filter(F.col("slot_rank") <= min(slots, total)).orderBy(F.col(priority).desc(), F.col(seq).desc()).limit(total)
 
 
-def start_times(requests: DataFrame, delay: float, by: str = "slot", order: str = "seq", arrival: str | None = None) -> DataFrame:
-    """W20 without jitter: the earliest start of each request, `delay` seconds after the one before in its slot.
+def start_times(requests: DataFrame, delay: float, by: str = "slot", order: str = "seq", arrival: str | None = None, jitter: bool = False) -> DataFrame:
+    """The earliest start of each request, `delay` seconds after the one before in its slot; with jitter half to one and a half
+    times as long, by a hash of the request's place.
 
-    With arrivals (seconds), start = max over earlier requests of (arrival_j + (i - j) * delay): a running maximum."""
+    With arrivals (seconds), start = max over earlier requests of (arrival_j + the pauses from j to i): a running maximum."""
     w = W.partitionBy(by).orderBy(order)
-    n = F.row_number().over(w) - 1
+    pause = F.lit(float(delay)) * (F.lit(0.5) + F.pmod(F.xxhash64(by, order), F.lit(1000)) / F.lit(1000.0)) if jitter else F.lit(float(delay))
+    waited = F.coalesce(F.sum(pause).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) if jitter else (F.row_number().over(w) - 1) * F.lit(float(delay))
     if arrival is None:
-        return requests.withColumn("start_s", n * F.lit(float(delay)))
-    return requests.withColumn("__n", n).withColumn("start_s", F.max(F.col(arrival) - F.col("__n") * F.lit(float(delay))).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("__n") * F.lit(float(delay))).drop("__n")
+        return requests.withColumn("start_s", waited)
+    return requests.withColumn("__w", waited).withColumn("start_s", F.max(F.col(arrival) - F.col("__w")).over(w.rowsBetween(W.unboundedPreceding, 0)) + F.col("__w")).drop("__w")
 
 
 def within_budget(responses: DataFrame, size: Column, budget: int = 5_000_000, least: int = 1024, by: list[str] | None = None, order: str = "seq") -> DataFrame:
