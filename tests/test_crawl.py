@@ -323,3 +323,15 @@ def test_feeds_from_settings(tmp_path):
     (tmp_path / "s.toml").write_text('closespider_pagecount = 3\n[feeds."out"]\nformat = "jsonlines"\n')
     s.load(tmp_path / "s.toml", "cmdline")
     assert s.get_int("CLOSESPIDER_PAGECOUNT") == 3 and json.dumps(s["FEEDS"]) == '{"out": {"format": "jsonlines"}}'
+
+
+def test_settings_of_a_spider():
+    assert settings.typed({"OWN": 1}, retry_times=5, download_delay="500ms", robotstxt_obey=False, user_agent=None) == {"OWN": 1, "RETRY_TIMES": 5, "DOWNLOAD_DELAY": 0.5, "ROBOTSTXT_OBEY": False}
+    for bad in ({"no_such": 1}, {"retry_times": True}, {"robotstxt_obey": 1}, {"user_agent": 3}):
+        with pytest.raises(TypeError):
+            settings.typed(**bad)
+
+    class Own(crawl.Spider):
+        custom_settings = settings.typed(retry_times=5)
+
+    assert settings.Settings({"RETRY_TIMES": 9}, "cmdline").priority("RETRY_TIMES") > settings.PRIORITIES["spider"]

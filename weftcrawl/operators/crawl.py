@@ -64,7 +64,7 @@ class Spider:
     name = "spider"
     start_urls: tuple[str, ...] | DataFrame = ()
     allowed_domains: tuple[str, ...] = ()
-    #: Q5: settings of this spider.
+    #: Q5: settings of this spider, from plans.settings.typed() or as a dict.
     custom_settings: dict = {}
 
     def start(self, spark: SparkSession) -> DataFrame:
@@ -333,6 +333,7 @@ class Crawl:
         for m in self.chain:
             m.after(answers, k)
         self._count(answers)
+        self.signals.send_and_log(Signal.RESPONSE_DOWNLOADED, frame=answers.filter("fate IS NULL OR fate <> 'forbidden'"))
         self.signals.send_and_log(Signal.REQUEST_LEFT_DOWNLOADER, frame=answers)
         self.signals.send_and_log(Signal.RESPONSE_RECEIVED, frame=answers.filter("fate IS NULL AND status IS NOT NULL"), count=self._round_counts["received"])
         return self._next(answers, k)

@@ -97,6 +97,23 @@ def duration(x) -> float:
     return float(x)
 
 
+def typed(extra: dict | None = None, **values) -> dict:
+    """Q5: a spider's settings by names in small letters, held to the kinds of the defaults; None says nothing. Names of one's own go
+    into extra."""
+    out = dict(extra or {})
+    for name, value in values.items():
+        key = name.upper()
+        if key not in DEFAULTS:
+            raise TypeError(f"no setting {name!r}")
+        kind = type(DEFAULTS[key])
+        fits = isinstance(value, bool) if kind is bool else not isinstance(value, bool) and isinstance(value, (int, float, str) if kind in (int, float) else kind)
+        if value is not None and not fits:
+            raise TypeError(f"{name} is of kind {kind.__name__}")
+        if value is not None:
+            out[key] = duration(value) if kind in (int, float) and isinstance(value, str) else value
+    return out
+
+
 class Settings:
     def __init__(self, values: dict | None = None, priority: str | int = "project"):
         self._values = {k: (v, 0) for k, v in DEFAULTS.items()}
