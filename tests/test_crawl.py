@@ -187,7 +187,7 @@ def chain(spark, n=6):
 @pytest.mark.parametrize("admit", [0, 1])
 def test_jobs_are_taken_up_again(spark, tmp_path, admit):
     """Any number of pauses gives what one run gives, and no page is fetched again."""
-    spider, fetch = chain(spark)
+    spider, fetch = chain(spark, 4 if admit else 5)
     whole = crawl.Crawl(spark, spider, fetch, QUIET, admit=admit)
     want = sorted(map(tuple, whole.run().collect()))
     rounds, last = 0, None

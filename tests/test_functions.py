@@ -140,3 +140,11 @@ def test_forms():
     assert X.form_request(FORM, "http://e.com/p", locator={"xpath": "//input[@name='q']"})["url"].endswith("q=x+y")
     assert X.form_request(FORM, "http://e.com/p", locator={"number": 5}) is None
     assert X.form_request("", "http://e.com/") is None
+
+
+def test_domains_of_any_number(spark):
+    df = spark.createDataFrame([("http://a.e.com/",), ("http://e.com:8/",), ("http://notd.com/",), ("http://x.org/",), ("nothing",)], "url string")
+    few, many = ["e.com", "d.com"], ["e.com", "d.com", *(f"d{i}.net" for i in range(50))]
+    rows = df.select(U.in_domains("url", few).alias("a"), U.in_domains("url", many).alias("b"), U.in_domains("url", many, sub=False).alias("c")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] == [True, True, False, False, False]
+    assert [r["c"] for r in rows] == [False, True, False, False, False]

@@ -167,11 +167,14 @@ def simple_fingerprint(url, method=None) -> Column:
 
 
 def in_domains(url, domains: list[str], sub: bool = True) -> Column:
-    """Host equal to one of a short list of domains or below one; long lists go through operators.links.on_domains."""
+    """Host equal to one of a list of domains or below one: a few comparisons, or for longer lists each suffix of the host against a
+    hash set. Tables of domains go through operators.links.on_domains."""
     h = host(url)
-    exact = h.isin(domains)
     if not sub:
-        return exact
+        return h.isin(domains)
+    if len(domains) > 8:
+        return F.exists(suffixes(h), lambda x: x.isin(domains))
+    exact = h.isin(domains)
     for d in domains:
         exact = exact | h.endswith("." + d)
     return exact
