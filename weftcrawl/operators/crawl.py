@@ -119,18 +119,21 @@ class RuleSpider(Spider):
         return out
 
     def parse(self, responses: DataFrame) -> Out:
-        """What has no callback of its own: start URLs, and answers by rule."""
-        outs = [self._answered(responses.filter("rule IS NULL"), self.parse_start_url, True, {})]
-        known = self.callbacks()
+        """What has no callback of its own: start URLs, and answers by rule. The links of all that are followed are taken together."""
+        known = {**CALLBACKS, **self.callbacks()}
+        start = responses.filter("rule IS NULL")
+        outs = [self._processed(start, self.parse_start_url(start))]
         for k, rule in enumerate(self.rules):
-            own = responses.filter(F.col("rule") == k)
-            f = known.get(rule.callback) or CALLBACKS.get(rule.callback) if rule.callback else None
-            outs.append(self._answered(own, f, rule.follows(), rule.cb_kwargs))
+            if rule.callback in known:
+                own = responses.filter(F.col("rule") == k)
+                outs.append(self._processed(own, known[rule.callback](own, **rule.cb_kwargs)))
+        if self.rules:
+            followed = F.col("rule").isNull() | F.col("rule").isin([k for k, r in enumerate(self.rules) if r.follows()])
+            outs.append(Out(requests=self.requests_to_follow(responses.filter(followed))))
         return merged(outs)
 
-    def _answered(self, responses: DataFrame, f: Callable | None, follow: bool, kwargs: dict) -> Out:
-        out = self.process_results(responses, f(responses, **kwargs)) if f else Out()
-        return merged([out, Out(requests=self.requests_to_follow(responses))]) if follow and self.rules else out
+    def _processed(self, responses: DataFrame, out: Out) -> Out:
+        return out if out.items is None and out.requests is None else self.process_results(responses, out)
 
     def requests_to_follow(self, responses: DataFrame) -> DataFrame:
         """Links of HTML answers; of equal URLs of a page that of the first rule."""
