@@ -62,3 +62,20 @@ def test_stages_keep_columns(spark, folder):
     assert changed["n_chars"] == len(changed["text"])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), path).count() == 0, name
+
+
+def test_stages_on_odd_rows(spark, folder):
+    """Nulls, repeated rows, a very long text, and extra columns named like those the stages make."""
+    rng = random.Random(12)
+    long = prose(rng, 60_000, 10**6)
+    texts = [None, "", long, long + " end", prose(rng, 80), "x", "x", f"say {KEY}"]
+    rows = [(i if i != 6 else 5, t, None, None, None, 1, "g", 2, "v") for i, t in enumerate(texts)] + [(None, "null key", "en", "s", 8, 1, "g", 2, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, sid int, grade string, __old int, value string").repartition(3)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder[0])
+        assert out.columns == docs.columns, name
+        kept[name] = sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in out.collect())
+    every = [-1, 0, 1, 2, 3, 4, 5, 5, 7]
+    assert kept == {"toxicity": every, "near_duplicates": [-1, 0, 1, 2, 4, 5, 5, 7], "decontamination": every, "secrets": every}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder[0]).count() == len(rows)

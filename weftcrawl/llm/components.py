@@ -50,9 +50,9 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["u", "v"])
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """(u, v): each node with an edge but the least of its component, and that least node. edges: (u, v), longs, u <> v."""
-    now = scratch.keep(edges.select("u", "v").distinct(), f"{name}-0", few=True)
+def components(edges: DataFrame, scratch: Scratch, name: str = "components", rows: int = 0) -> DataFrame:
+    """(u, v): each node with an edge but the least of its component, and that least node. edges: (u, v), longs, u <> v; about so many rows."""
+    now = scratch.keep(edges.select("u", "v").distinct(), f"{name}-0", scratch.files(rows))
     before, k = None, 0
     while True:
         n, sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -60,14 +60,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
             return now
         before, k = (n, sign), k + 1
         last = n <= FEW
-        after = scratch.keep(now.coalesce(1).mapInArrow(_together, "u long, v long") if last else _small(_large(now)), f"{name}-{k}", few=True)
+        after = scratch.keep(now.coalesce(1).mapInArrow(_together, "u long, v long") if last else _small(_large(now)), f"{name}-{k}", scratch.files(n))
         scratch.drop(f"{name}-{k - 1}")
         now = after
         if last:
             return now
 
 
-def contracted(edges: DataFrame, known: DataFrame | None, scratch: Scratch, name: str) -> DataFrame:
+def contracted(edges: DataFrame, known: DataFrame | None, scratch: Scratch, name: str, rows: int = 0) -> DataFrame:
     """components() of edges and of all that went into known, kept as the table `name`."""
     if known is not None:
         of = known.select(F.col("u").alias("x"), F.col("v").alias("root"))
@@ -75,12 +75,12 @@ def contracted(edges: DataFrame, known: DataFrame | None, scratch: Scratch, name
             edges = edges.join(of.withColumnRenamed("x", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
         edges = edges.filter("u <> v")
     steps = f"{name}-step"
-    new = components(edges, scratch, steps)
+    new = components(edges, scratch, steps, rows)
     if known is None:
         out = new
     else:
         moved = known.join(new.select(F.col("u").alias("v"), F.col("v").alias("root")), "v", "left")
         out = moved.select("u", F.coalesce("root", "v").alias("v")).unionByName(new.select("u", "v"))
-    out = scratch.keep(out, name, few=True)
-    scratch.drop(*(f"{steps}-{k}" for k in range(2)))
+    out = scratch.keep(out, name, scratch.files(new.count() + (known.count() if known is not None else 0)))
+    scratch.drop(*(f"{steps}-{k}" for k in range(40)))
     return out

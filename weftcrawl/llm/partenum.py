@@ -423,12 +423,13 @@ class _Join:
         self.step, self.last = 0, ""
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return self.scratch.keep(df, f"{name}-{self.step}", few=True)
+        return self.scratch.keep(df, f"{name}-{self.step}", self.files)
 
     def run(self, bucket: DataFrame, first: DataFrame) -> DataFrame | None:
         """known, of all links between the nodes of buckets (sig, sid, least)."""
+        self.files = self.scratch.files(bucket.count())
         nodes = self.docs.join(bucket.select("sid").distinct(), "sid", "left_semi").join(first, ["sid", "key"], "left_semi")
-        self.nodes = self.scratch.keep(nodes.dropDuplicates(["sid"]).select("sid", "key", "n", *ODD, "wide"), "nodes", few=True)
+        self.nodes = self.scratch.keep(nodes.dropDuplicates(["sid"]).select("sid", "key", "n", *ODD, "wide"), "nodes", self.files)
         # at most a pair for each row of a bucket: the least node of a group of near copies brings most of them together
         self.compare(bucket.filter("sid <> least").select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v")).distinct())
         bucket, last, whole = bucket.select("sig", "sid"), "buckets", False
@@ -486,7 +487,7 @@ class _Join:
             found = self.keep(both.filter(f"{self.s.den} * both >= {self.s.num} * (sum - both)").select("u", "v"), "links")
             links = found.count()
             if links:
-                self.known = contracted(found, self.known, self.scratch, f"known-{self.step}")
+                self.known = contracted(found, self.known, self.scratch, f"known-{self.step}", links)
                 if self.last:
                     self.scratch.drop(self.last)
                 self.last = f"known-{self.step}"
@@ -508,7 +509,7 @@ def linked(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id",
         named = first.withColumnRenamed("key", "component_id")
     else:
         rooted = first.join(known.withColumnRenamed("u", "sid"), "sid", "left").select("sid", F.coalesce("v", "sid").alias("root"), "key")
-        rooted = scratch.keep(rooted, "rooted", few=True)
+        rooted = scratch.keep(rooted, "rooted", scratch.files(docs.count()))
         named = rooted.join(rooted.groupBy("root").agg(F.min("key").alias("component_id")), "root").select("sid", "component_id")
     out = docs.select("key", "n", "sid").join(named, "sid", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
@@ -517,6 +518,6 @@ def linked(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id",
 def one_of_each(df: DataFrame, s: Similarity, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with one document of each component, that with the smallest key. Rows without a key stay."""
     groups = linked(df, s, scratch, key, text)
-    gone = scratch.keep(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone", few=True)
+    gone = scratch.keep(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone", scratch.files(scratch.spark.read.parquet(scratch.path("documents")).count()))
     scratch.drop("documents", "rooted")
     return df.join(F.broadcast(gone) if gone.count() <= SENT else gone, key, "left_anti").select(*df.columns)

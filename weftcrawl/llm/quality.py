@@ -96,7 +96,7 @@ def rules() -> list[Rule]:
 
 def ordered(sample: DataFrame, rules: list[Rule], scratch: Scratch) -> list[Rule]:
     """The rules by rejections per cost on a sample with counts(), each among what those before it leave."""
-    some = scratch.keep(sample, "sample", few=True)
+    some = scratch.keep(sample, "sample", scratch.files(0))
 
     def run(c: Column) -> float:
         began = time.perf_counter()
