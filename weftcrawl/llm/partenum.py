@@ -16,8 +16,9 @@ Equal sets are one node, and nodes that share a signature are a bucket. In a buc
 compared, which brings groups of near copies together. Then, within buckets that hold several
 components, all pairs across components are looked at where they lie, by the parities of their sets over BITS cells: each
 element that only one set has flips one parity, so sets that differ in more parities than similar ones differ in elements are
-not similar. While many pairs are left, each node's nearest is compared; then all of them. Buckets of more than BLOCK nodes are
-cut into blocks, and each two blocks are looked at by a task of their own. So a pair becomes a row only if its parities allow,
+not similar. Where few pairs are left, all are compared, and the bucket is done; else each node's nearest, and the bucket is
+looked at again, the last time for all pairs. In buckets of more than BLOCK nodes those outside the largest component are cut
+into blocks, and each two blocks, and each block and piece of that component, are looked at by a task of their own. So a pair becomes a row only if its parities allow,
 and in dense groups only while it joins components. Each pair that is left is compared exactly.
 
 Null and empty texts and those without words have no set and are linked with nothing. Very long texts are whole; they need about
@@ -52,8 +53,10 @@ ODD = [f"o{i}" for i in range(BITS // 64)]
 MANY, WIDE = 1000, 4096
 #: Signatures that a task holds before it deals them out; those that occur more than HOT times among them go to several tasks.
 HELD, HOT = 1 << 19, 1000
-#: Signatures and bucket rows of a task, and nodes of a bucket that are looked at together.
-SIGNED, ROWS, BLOCK = 1 << 20, 1 << 17, 4096
+#: Signatures and bucket rows of a task; nodes of a bucket that are looked at together, and those of its largest component beside them.
+SIGNED, ROWS, BLOCK, PIECE = 1 << 20, 1 << 17, 4096, 1 << 16
+#: Pairs for each row of a cell that are compared at once.
+PAIRS = 4
 #: Candidates up to this number are sent to the executors to pick their texts; more are joined. Equal sets that a task remembers.
 SENT, SEEN = 500_000, 200_000
 #: Rounds of nearest pairs, at most.
@@ -343,75 +346,107 @@ def _near(m: str, n: str, flips: str, s: Similarity) -> str:
     return f"({s.den} * least({m}, {n}) >= {s.num} * greatest({m}, {n}) AND {s.den + s.num} * {flips} <= {s.den - s.num} * ({m} + {n}))"
 
 
+def _cells(bucket: DataFrame, most: int) -> DataFrame:
+    """(sig, cell, block, within, sid, c): the rows of buckets (sig, sid, c, size), dealt to cells. most: the largest size.
+
+    Two rows of a bucket and of different components share a cell; where their block is the same, they are to be compared where
+    within. A bucket of up to BLOCK rows is one cell. Of a larger one only the rows outside its largest component are cut into
+    blocks of BLOCK, which meet one another and each piece of that component, of up to PIECE rows, whose rows never meet.
+    """
+    small = bucket.filter(F.col("size") <= BLOCK).select("sig", F.col("sig").alias("cell"), F.lit(0).alias("block"), F.lit(True).alias("within"), "sid", "c")
+    if most <= BLOCK:
+        return small
+    large = bucket.filter(F.col("size") > BLOCK).select("sig", "sid", "c")
+    tops = large.groupBy("sig", "c").agg(F.count("*").alias("rows")).groupBy("sig").agg(F.max(F.struct("rows", "c")).alias("top"), F.sum("rows").alias("rows"))
+    tops = tops.select("sig", F.col("top.c").alias("top"), F.ceil((F.col("rows") - F.col("top.rows")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("top.rows") / PIECE).cast("int").alias("pieces"))
+    h, inside = F.xxhash64("sid", "sig"), F.col("c") == F.col("top")
+    rows = large.join(tops, "sig").withColumn("block", F.when(inside, -1 - F.pmod(h, "pieces")).otherwise(F.pmod(h, "blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(inside, F.lit(0)).otherwise(-F.col("pieces")), F.col("blocks") - 1))).filter("block <> other")
+    cell = F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other"))
+    return small.unionByName(rows.select("sig", cell.alias("cell"), "block", (F.col("other") == -1).alias("within"), "sid", "c"))
+
+
 def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
-    """(u, v, flips, more): pairs of nodes of a cell, in different components, that their parities allow.
+    """(u, v, flips, sig): pairs of nodes of a cell, in different components, that their parities allow.
 
-    A task gives all of its pairs if whole, or if they are few beside its nodes; else each node's nearest only, and more is true.
-    df: (cell, block, single, sid, c, n, o0 to o7), all rows of a cell in one task.
+    A cell gives all of its pairs if whole, or if they are no more than PAIRS for each of its rows. Else each row's nearest, with
+    flips, and a row of the bucket's sig alone, which says that there is more.
+    df: (sig, cell, block, within, sid, c, n, o0 to o7), all rows of a cell in one task.
     """
+    each = PAIRS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches, None) if (batches := list(batches)) else None
         if table is None or not len(table):
             return
-        cell, block, single, sid, c, n = (table[x].to_numpy() for x in ("cell", "block", "single", "sid", "c", "n"))
+        sig, cell, block, within, sid, c, n = (table[x].to_numpy() for x in ("sig", "cell", "block", "within", "sid", "c", "n"))
         odd = np.stack([table[o].to_numpy() for o in ODD], 1).view(np.uint64)
         ids, node, back = np.unique(sid, return_index=True, return_inverse=True)
         odd, size = odd[node], n[node]
-        order = np.lexsort((mix((sid ^ cell).view(np.uint64)), cell))
-        cell, block, single, c, node = cell[order], block[order], single[order], c[order], back[order]
-        few = len(ids) if whole else len(ids) // 2
-        nearest, partner = np.full(len(ids), 1 << 40), np.zeros(len(ids), np.int64)
-        found, held, all_of_them = [np.zeros(0, np.int64)], 0, True
-        alive, d = np.arange(len(cell)), 0
-
-        def rows(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids[pairs // len(ids)]), pa.array(ids[pairs % len(ids)]), pa.nulls(len(pairs), pa.int64()), pa.array(np.zeros(len(pairs), bool))], ["u", "v", "flips", "more"])
-
+        order = np.lexsort((c, cell))
+        sig, cell, block, within, sid, c, node = (x[order] for x in (sig, cell, block, within, sid, c, back))
+        new = np.append(True, cell[1:] != cell[:-1])
+        at, run_of = np.cumsum(new) - 1, np.cumsum(new | np.append(True, c[1:] != c[:-1])) - 1
+        rows_of, sig = np.bincount(at), sig[new]
+        # the rows of a cell's largest component come last: no pair begins with one
+        most, top = np.zeros(len(sig), np.int64), np.full(len(sig), len(c))
+        alike = np.bincount(run_of)[run_of]
+        np.maximum.at(most, at, alike)
+        np.minimum.at(top, at, np.where(alike == most[at], run_of, len(c)))
+        last = run_of == top[at]
+        order = np.lexsort((mix((sid ^ cell).view(np.uint64)), last, at))
+        at, block, within, c, node, last = (x[order] for x in (at, block, within, c, node, last))
+        pairs_of, far = np.zeros(len(sig), np.int64), 1 << 40
+        nearest, partner = np.full(len(c), far), np.zeros(len(c), np.int64)
+        found, held = [np.zeros((2, 0), np.int64)], 0
+        alive, d = np.flatnonzero(~last), 0
+
+        def rows(u: np.ndarray, v: np.ndarray, flips: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.nulls(len(u), pa.int64()) if flips is None else pa.array(flips), pa.nulls(len(u), pa.int64())], names)
+
+        names = ["u", "v", "flips", "sig"]
         while True:
             d += 1
-            alive = alive[alive < len(cell) - d]
-            alive = alive[cell[alive] == cell[alive + d]]
+            alive = alive[alive < len(c) - d]
+            alive = alive[at[alive] == at[alive + d]]
             if not len(alive):
                 break
             for first in range(0, len(alive), 1 << 17):
                 x = alive[first : first + (1 << 17)]
-                x = x[(c[x] != c[x + d]) & (single[x] | (block[x] != block[x + d]))]
+                x = x[(c[x] != c[x + d]) & (within[x] | (block[x] != block[x + d]))]
+                m, k = size[node[x]], size[node[x + d]]
+                x = x[s.den * np.minimum(m, k) >= s.num * np.maximum(m, k)]
                 i, j = node[x], node[x + d]
-                ok = s.den * np.minimum(size[i], size[j]) >= s.num * np.maximum(size[i], size[j])
-                i, j = i[ok], j[ok]
                 flips = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64)
                 ok = (s.den + s.num) * flips <= (s.den - s.num) * (size[i] + size[j])
-                i, j, flips = i[ok], j[ok], flips[ok]
-                if not len(i):
+                x, i, j, flips = x[ok], i[ok], j[ok], flips[ok]
+                if not len(x):
                     continue
-                if all_of_them:
-                    found.append(np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j)))
-                    held += len(found[-1])
-                    if held > 4 * few + (1 << 16):
-                        found = [np.unique(np.concatenate(found))]
-                        held = len(found[0])
-                        if whole and held > 1 << 20:
-                            yield rows(found[0])
-                            found, held = [found[0][:0]], 0
-                        elif not whole and held > few:
-                            found, all_of_them = [], False
+                found.append(np.stack([np.minimum(i, j) * len(ids) + np.maximum(i, j), at[x]]))
+                held += len(x)
                 if not whole:
-                    for a, b in ((i, j), (j, i)):
-                        least = np.lexsort((b, flips, a))
-                        a, b, f = a[least], b[least], flips[least]
-                        one = np.append(True, a[1:] != a[:-1])
-                        a, b, f = a[one], b[one], f[one]
-                        closer = f < nearest[a]
-                        nearest[a[closer]], partner[a[closer]] = f[closer], b[closer]
-        pairs = np.unique(np.concatenate(found)) if all_of_them else None
-        if pairs is not None and (whole or len(pairs) <= few):
-            yield rows(pairs)
-            return
-        have = np.flatnonzero(nearest < 1 << 40)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[have]), pa.array(ids[partner[have]]), pa.array(nearest[have]), pa.array(np.ones(len(have), bool))], ["u", "v", "flips", "more"])
-
-    return df.mapInArrow(run, "u long, v long, flips long, more boolean")
+                    np.add.at(pairs_of, at[x], 1)
+                    for one, other in ((x, j), (x + d, i)):
+                        closer = flips < nearest[one]
+                        nearest[one[closer]], partner[one[closer]] = flips[closer], other[closer]
+                    if held > 2 * each * len(c) + (1 << 16):
+                        pairs = np.concatenate(found, 1)
+                        found = [pairs[:, pairs_of[pairs[1]] <= each * rows_of[pairs[1]]]]
+                        held = found[0].shape[1]
+                elif held > 1 << 20:
+                    pairs = np.unique(np.concatenate(found, 1)[0])
+                    yield rows(pairs // len(ids), pairs % len(ids))
+                    found, held = [np.zeros((2, 0), np.int64)], 0
+        more = pairs_of > each * rows_of
+        pairs = np.concatenate(found, 1)
+        pairs = np.unique(pairs[0, ~more[pairs[1]]])
+        yield rows(pairs // len(ids), pairs % len(ids))
+        have = np.flatnonzero(more[at] & (nearest < far))
+        yield rows(node[have], partner[have], nearest[have])
+        none = pa.nulls(int(more.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(sig[more])], names)
+
+    return df.mapInArrow(run, "u long, v long, flips long, sig long")
 
 
 class _Join:
@@ -432,40 +467,40 @@ class _Join:
         self.nodes = self.scratch.keep(nodes.dropDuplicates(["sid"]).select("sid", "key", "n", *ODD, "wide"), "nodes", self.files)
         # at most a pair for each row of a bucket: the least node of a group of near copies brings most of them together
         self.compare(bucket.filter("sid <> least").select(F.least("sid", "least").alias("u"), F.greatest("sid", "least").alias("v")).distinct())
-        bucket, last, whole = bucket.select("sig", "sid"), "buckets", False
+        last, whole = ["buckets"], False
         while True:
             self.step += 1
             bucket = self.keep(self._open(bucket), "open")
-            self.scratch.drop(last)
-            last = f"open-{self.step}"
+            self.scratch.drop(*last)
             found = self.keep(self._pairs(bucket, whole), "found")
-            more = not found.filter("more").isEmpty()
-            nearest = found.filter("more").groupBy("u").agg(F.min(F.struct("flips", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-            pairs = found.filter("NOT more").select("u", "v").unionByName(nearest)
+            last = [f"open-{self.step}", f"found-{self.step}"]
+            nearest = found.filter("flips IS NOT NULL").groupBy("u").agg(F.min(F.struct("flips", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+            pairs = found.filter("flips IS NULL AND sig IS NULL").select("u", "v").unionByName(nearest)
             new = self.compare(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-            self.scratch.drop(f"found-{self.step}")
-            if not more:
-                self.scratch.drop(last, "nodes")
+            more = found.filter("sig IS NOT NULL").select("sig").distinct()
+            if more.isEmpty():
+                self.scratch.drop(*last, "nodes")
                 return self.known
             whole = not new or self.step >= ROUNDS
-            bucket = bucket.select("sig", "sid")
+            # the other buckets have had all of their pairs compared
+            bucket = bucket.join(more, "sig", "left_semi").select("sig", "sid", F.lit(None).cast("long").alias("least"))
 
     def _open(self, bucket: DataFrame) -> DataFrame:
-        """(sig, sid, c, size): the rows of buckets that hold several components c, and the bucket's size."""
+        """(sig, sid, c, size): the rows of buckets that hold several components c, and the bucket's size.
+
+        Without the least node, which all others were compared with, but where several tasks had parts of a bucket."""
         now = bucket.withColumn("c", F.col("sid"))
         if self.known is not None:
-            now = bucket.join(self.known.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").select("sig", "sid", F.coalesce("root", "sid").alias("c"))
-        ends = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
-        return now.join(ends.filter("lo < hi").select("sig", "size"), "sig")
+            now = bucket.join(self.known.select(F.col("u").alias("sid"), F.col("v").alias("root")), "sid", "left").select("sig", "sid", "least", F.coalesce("root", "sid").alias("c"))
+        rest = F.when(F.col("sid") != F.col("least"), F.col("c"))
+        ends = now.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min(rest).alias("lo_rest"), F.max(rest).alias("hi_rest"), (F.min("least") == F.max("least")).alias("one"))
+        ends = ends.withColumn("one", F.coalesce("one", F.lit(False))).filter("CASE WHEN one THEN lo_rest < hi_rest ELSE lo < hi END")
+        return now.join(ends.select("sig", "size", "one"), "sig").filter("NOT one OR sid <> least").select("sig", "sid", "c", "size")
 
     def _pairs(self, bucket: DataFrame, whole: bool) -> DataFrame:
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = bucket.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid", "sig"), "blocks").cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cell = F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other")))
-        rows = rows.select(cell.alias("cell"), "block", (F.col("block") == F.col("other")).alias("single"), "sid", "c").join(self.nodes.select("sid", "n", *ODD), "sid")
-        tasks = max(1, -(-bucket.count() // ROWS))
-        return _lookup(rows.repartition(tasks, "cell"), self.s, whole)
+        rows, most = bucket.agg(F.count("*"), F.max("size")).first()
+        tasks = max(1, -(-rows // ROWS))
+        return _lookup(_cells(bucket, most or 0).join(self.nodes.select("sid", "n", *ODD), "sid").repartition(tasks, "cell"), self.s, whole)
 
     def compare(self, pairs: DataFrame) -> int:
         """Adds the links among the pairs (u, v) to what is known; their number."""
