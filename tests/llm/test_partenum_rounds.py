@@ -71,3 +71,32 @@ def test_rows_of_a_large_bucket_follow_its_size(spark, monkeypatch):
                     met[pair] = met.get(pair, 0) + 1
     want = {(sig, i, j) for sig, i, c, _ in rows for other, j, k, _ in rows if sig == other and i < j and c != k}
     assert met == dict.fromkeys(want, 1)
+
+
+def looked(spark, monkeypatch, buckets, odd, pairs):
+    """(pairs, nearest) of buckets of nodes that are components of their own; odd: the parities of each node's set."""
+    monkeypatch.setattr(partenum, "PAIRS", pairs)
+    rows = [(sig, sig, 0, True, sid, sid, 100, *odd[sid]) for sig, sids in buckets.items() for sid in sids]
+    df = spark.createDataFrame(rows, f"sig long, cell long, block int, within boolean, sid long, c long, n long, {', '.join(o + ' long' for o in partenum.ODD)}")
+    out = partenum._lookup(df.coalesce(1), partenum.Similarity(80, 100, 5), False).collect()
+    return [(r["u"], r["v"]) for r in out if r["sig"] is None], {(r["sig"], r["u"]) for r in out if r["sig"] is not None}
+
+
+def test_a_pair_of_many_buckets_counts_once(spark, monkeypatch):
+    """Twenty near copies that no bucket joined, 9.5 pairs for each row of a bucket: the buckets are not looked at again."""
+    found, again = looked(spark, monkeypatch, {sig: range(20) for sig in range(40)}, {i: [0] * 8 for i in range(20)}, 4)
+    assert not again and sorted(found) == [(i, j) for i in range(20) for j in range(i + 1, 20)]
+
+
+@pytest.mark.parametrize("pairs", [0, 1, 2])
+def test_only_rows_with_pairs_are_looked_at_again(spark, monkeypatch, pairs):
+    """What is not found at once has both of its rows in the bucket that is looked at again; rows without pairs are not."""
+    far = {i: [0] * 8 if i < 20 else [-1 if k == i - 20 else 0 for k in range(8)] for i in range(28)}
+    buckets = {1: range(28), 2: range(10, 28), 3: [0, 1], 4: range(5, 25)}
+    found, again = looked(spark, monkeypatch, buckets, far, pairs)
+    assert again and not any(sid >= 20 for _, sid in again)
+    for sig, sids in buckets.items():
+        for i in sids:
+            for j in sids:
+                if i < j < 20:
+                    assert (i, j) in found or {(sig, i), (sig, j)} <= again

@@ -16,8 +16,9 @@ Equal sets are one node, and nodes that share a signature are a bucket. In a buc
 compared, which brings groups of near copies together. Then, within buckets that hold several
 components, all pairs across components are looked at where they lie, by the parities of their sets over BITS cells: each
 element that only one set has flips one parity, so sets that differ in more parities than similar ones differ in elements are
-not similar. Where few pairs are left, all are compared, and the bucket is done; else each node's nearest, and the bucket is
-looked at again, the last time for all pairs. In buckets of more than BLOCK nodes those outside the largest component are cut
+not similar. Near copies share many buckets, so a task counts each pair once, whatever the number of its buckets that have it.
+Where few pairs are left for the task's rows, all are compared, and its buckets are done; else, in those with the most, each
+node's nearest, and the nodes that have one are looked at again, the last time for all pairs. In buckets of more than BLOCK nodes those outside the largest component are cut
 into blocks, and each two blocks, and each block and piece of that component, are looked at by a task of their own. So a pair becomes a row only if its parities allow,
 and in dense groups only while it joins components. Each pair that is left is compared exactly.
 
@@ -55,7 +56,7 @@ MANY, WIDE = 1000, 4096
 HELD, HOT = 1 << 19, 1000
 #: Signatures and bucket rows of a task; nodes of a bucket that are looked at together, and those of its largest component beside them.
 SIGNED, ROWS, BLOCK, PIECE = 1 << 20, 1 << 17, 4096, 1 << 16
-#: Pairs for each row of a cell that are compared at once.
+#: Different pairs for each row of a task, and where they are more, pairs for each row of a cell, that are compared at once.
 PAIRS = 4
 #: Candidates up to this number are sent to the executors to pick their texts; more are joined. Equal sets that a task remembers.
 SENT, SEEN = 500_000, 200_000
@@ -369,8 +370,9 @@ def _cells(bucket: DataFrame, most: int) -> DataFrame:
 def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
     """(u, v, flips, sig): pairs of nodes of a cell, in different components, that their parities allow.
 
-    A cell gives all of its pairs if whole, or if they are no more than PAIRS for each of its rows. Else each row's nearest, with
-    flips, and a row of the bucket's sig alone, which says that there is more.
+    Cells give all of their pairs if whole, or if the task's different pairs are no more than PAIRS for each of its rows. Else those
+    with more than PAIRS for each of their own rows may give only some, and give each row's nearest, with flips and the bucket's
+    sig. These rows, as u, are all that have pairs in such a cell, and are to be looked at again.
     df: (sig, cell, block, within, sid, c, n, o0 to o7), all rows of a cell in one task.
     """
     each = PAIRS
@@ -398,11 +400,15 @@ def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
         at, block, within, c, node, last = (x[order] for x in (at, block, within, c, node, last))
         pairs_of, far = np.zeros(len(sig), np.int64), 1 << 40
         nearest, partner = np.full(len(c), far), np.zeros(len(c), np.int64)
-        found, held = [np.zeros((2, 0), np.int64)], 0
+        found, held = [np.zeros(0, np.int64)], 0
+        # cells whose further pairs are left to the next look, once the task has too many; what is found before that is kept, as other cells may rely on it
+        limit, tight, over = each * len(c), False, np.zeros(len(sig), bool)
         alive, d = np.flatnonzero(~last), 0
 
-        def rows(u: np.ndarray, v: np.ndarray, flips: np.ndarray | None = None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.nulls(len(u), pa.int64()) if flips is None else pa.array(flips), pa.nulls(len(u), pa.int64())], names)
+        def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+            x = np.unique(np.concatenate(found))
+            none = pa.nulls(len(x), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(ids[x // len(ids)]), pa.array(ids[x % len(ids)]), none, none], names)
 
         names = ["u", "v", "flips", "sig"]
         while True:
@@ -422,29 +428,29 @@ def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
                 x, i, j, flips = x[ok], i[ok], j[ok], flips[ok]
                 if not len(x):
                     continue
-                found.append(np.stack([np.minimum(i, j) * len(ids) + np.maximum(i, j), at[x]]))
-                held += len(x)
-                if not whole:
-                    np.add.at(pairs_of, at[x], 1)
-                    for one, other in ((x, j), (x + d, i)):
-                        closer = flips < nearest[one]
-                        nearest[one[closer]], partner[one[closer]] = flips[closer], other[closer]
-                    if held > 2 * each * len(c) + (1 << 16):
-                        pairs = np.concatenate(found, 1)
-                        found = [pairs[:, pairs_of[pairs[1]] <= each * rows_of[pairs[1]]]]
-                        held = found[0].shape[1]
-                elif held > 1 << 20:
-                    pairs = np.unique(np.concatenate(found, 1)[0])
-                    yield rows(pairs // len(ids), pairs % len(ids))
-                    found, held = [np.zeros((2, 0), np.int64)], 0
-        more = pairs_of > each * rows_of
-        pairs = np.concatenate(found, 1)
-        pairs = np.unique(pairs[0, ~more[pairs[1]]])
-        yield rows(pairs // len(ids), pairs % len(ids))
-        have = np.flatnonzero(more[at] & (nearest < far))
-        yield rows(node[have], partner[have], nearest[have])
-        none = pa.nulls(int(more.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(sig[more])], names)
+                pair = np.minimum(i, j) * len(ids) + np.maximum(i, j)
+                if whole:
+                    found.append(pair)
+                    held += len(pair)
+                    if held > 1 << 20:
+                        yield pairs(found)
+                        found, held = [np.zeros(0, np.int64)], 0
+                    continue
+                np.add.at(pairs_of, at[x], 1)
+                for one, other in ((x, j), (x + d, i)):
+                    closer = flips < nearest[one]
+                    nearest[one[closer]], partner[one[closer]] = flips[closer], other[closer]
+                found.append(pair[~over[at[x]]])
+                held += len(found[-1])
+                if not tight and held > 2 * limit:
+                    found = [np.unique(np.concatenate(found))]
+                    held = len(found[0])
+                    tight = held > limit
+                if tight:
+                    over = pairs_of > each * rows_of
+        yield pairs(found)
+        have = np.flatnonzero(over[at] & (nearest < far))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[node[have]], ids[partner[have]], nearest[have], sig[at[have]])], names)
 
     return df.mapInArrow(run, "u long, v long, flips long, sig long")
 
@@ -474,16 +480,16 @@ class _Join:
             self.scratch.drop(*last)
             found = self.keep(self._pairs(bucket, whole), "found")
             last = [f"open-{self.step}", f"found-{self.step}"]
-            nearest = found.filter("flips IS NOT NULL").groupBy("u").agg(F.min(F.struct("flips", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-            pairs = found.filter("flips IS NULL AND sig IS NULL").select("u", "v").unionByName(nearest)
+            nearest = found.filter("sig IS NOT NULL").groupBy("u").agg(F.min(F.struct("flips", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+            pairs = found.filter("sig IS NULL").select("u", "v").unionByName(nearest)
             new = self.compare(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-            more = found.filter("sig IS NOT NULL").select("sig").distinct()
+            more = found.filter("sig IS NOT NULL")
             if more.isEmpty():
                 self.scratch.drop(*last, "nodes")
                 return self.known
             whole = not new or self.step >= ROUNDS
-            # the other buckets have had all of their pairs compared
-            bucket = bucket.join(more, "sig", "left_semi").select("sig", "sid", F.lit(None).cast("long").alias("least"))
+            # the other rows have had all of their pairs compared
+            bucket = more.select("sig", F.col("u").alias("sid")).distinct().withColumn("least", F.lit(None).cast("long"))
 
     def _open(self, bucket: DataFrame) -> DataFrame:
         """(sig, sid, c, size): the rows of buckets that hold several components c, and the bucket's size.
