@@ -83,9 +83,17 @@ def looked(spark, monkeypatch, buckets, odd, pairs):
 
 
 def test_a_pair_of_many_buckets_counts_once(spark, monkeypatch):
-    """Twenty near copies that no bucket joined, 9.5 pairs for each row of a bucket: the buckets are not looked at again."""
-    found, again = looked(spark, monkeypatch, {sig: range(20) for sig in range(40)}, {i: [0] * 8 for i in range(20)}, 4)
-    assert not again and sorted(found) == [(i, j) for i in range(20) for j in range(i + 1, 20)]
+    """Twelve near copies that no bucket joined, 5.5 pairs for each row of a bucket, and 80 other nodes: nothing is looked at again."""
+    odd = {i: [0] * 8 if i < 12 else [-1 if k == i % 8 else 0 for k in range(8)] for i in range(92)}
+    buckets = {sig: range(12) for sig in range(40)} | {100 + i: [i, i + 1] for i in range(12, 91)}
+    found, again = looked(spark, monkeypatch, buckets, odd, 4)
+    assert not again and sorted(found) == [(i, j) for i in range(12) for j in range(i + 1, 12)]
+
+
+def test_pairs_of_a_large_group_follow_its_rows(spark, monkeypatch):
+    """Near copies in large numbers give each row's nearest, not all pairs."""
+    found, again = looked(spark, monkeypatch, {1: range(100), 2: range(100)}, {i: [0] * 8 for i in range(100)}, 4)
+    assert not found and len(again) == 200
 
 
 @pytest.mark.parametrize("pairs", [0, 1, 2])

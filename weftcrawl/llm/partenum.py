@@ -17,8 +17,7 @@ compared, which brings groups of near copies together. Then, within buckets that
 components, all pairs across components are looked at where they lie, by the parities of their sets over BITS cells: each
 element that only one set has flips one parity, so sets that differ in more parities than similar ones differ in elements are
 not similar. Near copies share many buckets, so a task counts each pair once, whatever the number of its buckets that have it.
-Where few pairs are left for the task's rows, all are compared, and its buckets are done; else, in those with the most, each
-node's nearest, and the nodes that have one are looked at again, the last time for all pairs. In buckets of more than BLOCK nodes those outside the largest component are cut
+Where these are no more than its nodes, all are compared, and its buckets are done; else, in those with many, each node's nearest, and the nodes that have one are looked at again, the last time for all pairs. In buckets of more than BLOCK nodes those outside the largest component are cut
 into blocks, and each two blocks, and each block and piece of that component, are looked at by a task of their own. So a pair becomes a row only if its parities allow,
 and in dense groups only while it joins components. Each pair that is left is compared exactly.
 
@@ -56,7 +55,7 @@ MANY, WIDE = 1000, 4096
 HELD, HOT = 1 << 19, 1000
 #: Signatures and bucket rows of a task; nodes of a bucket that are looked at together, and those of its largest component beside them.
 SIGNED, ROWS, BLOCK, PIECE = 1 << 20, 1 << 17, 4096, 1 << 16
-#: Different pairs for each row of a task, and where they are more, pairs for each row of a cell, that are compared at once.
+#: Pairs for each row of a cell that are compared at once where a task has more different pairs than nodes.
 PAIRS = 4
 #: Candidates up to this number are sent to the executors to pick their texts; more are joined. Equal sets that a task remembers.
 SENT, SEEN = 500_000, 200_000
@@ -370,8 +369,8 @@ def _cells(bucket: DataFrame, most: int) -> DataFrame:
 def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
     """(u, v, flips, sig): pairs of nodes of a cell, in different components, that their parities allow.
 
-    Cells give all of their pairs if whole, or if the task's different pairs are no more than PAIRS for each of its rows. Else those
-    with more than PAIRS for each of their own rows may give only some, and give each row's nearest, with flips and the bucket's
+    Cells give all of their pairs if whole, or if the task's different pairs are no more than its nodes. Else those with more than
+    PAIRS for each of their own rows give only some or none, and each row's nearest, with flips and the bucket's
     sig. These rows, as u, are all that have pairs in such a cell, and are to be looked at again.
     df: (sig, cell, block, within, sid, c, n, o0 to o7), all rows of a cell in one task.
     """
@@ -400,13 +399,15 @@ def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
         at, block, within, c, node, last = (x[order] for x in (at, block, within, c, node, last))
         pairs_of, far = np.zeros(len(sig), np.int64), 1 << 40
         nearest, partner = np.full(len(c), far), np.zeros(len(c), np.int64)
-        found, held = [np.zeros(0, np.int64)], 0
-        # cells whose further pairs are left to the next look, once the task has too many; what is found before that is kept, as other cells may rely on it
-        limit, tight, over = each * len(c), False, np.zeros(len(sig), bool)
+        found, held = [], 0
+        # once the task has too many pairs, those of cells over the limit are left to the next look; not those in sure, which other cells may rely on
+        sure, tight, over = np.zeros(0, np.int64), False, np.zeros(len(sig), bool)
         alive, d = np.flatnonzero(~last), 0
 
-        def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-            x = np.unique(np.concatenate(found))
+        def different() -> np.ndarray:
+            return np.unique(np.concatenate([sure, *(x for x, _ in found)]))
+
+        def pairs(x: np.ndarray) -> pa.RecordBatch:
             none = pa.nulls(len(x), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(ids[x // len(ids)]), pa.array(ids[x % len(ids)]), none, none], names)
 
@@ -429,26 +430,28 @@ def _lookup(df: DataFrame, s: Similarity, whole: bool) -> DataFrame:
                 if not len(x):
                     continue
                 pair = np.minimum(i, j) * len(ids) + np.maximum(i, j)
+                found.append((pair, at[x]))
+                held += len(pair)
                 if whole:
-                    found.append(pair)
-                    held += len(pair)
                     if held > 1 << 20:
-                        yield pairs(found)
-                        found, held = [np.zeros(0, np.int64)], 0
+                        yield pairs(different())
+                        found, held = [], 0
                     continue
                 np.add.at(pairs_of, at[x], 1)
                 for one, other in ((x, j), (x + d, i)):
                     closer = flips < nearest[one]
                     nearest[one[closer]], partner[one[closer]] = flips[closer], other[closer]
-                found.append(pair[~over[at[x]]])
-                held += len(found[-1])
-                if not tight and held > 2 * limit:
-                    found = [np.unique(np.concatenate(found))]
-                    held = len(found[0])
-                    tight = held > limit
-                if tight:
-                    over = pairs_of > each * rows_of
-        yield pairs(found)
+                if held > 2 * each * len(c) + (1 << 16):
+                    if not tight and len(now := different()) <= len(ids):
+                        sure, found, held = now, [], 0
+                        continue
+                    tight, over = True, pairs_of > each * rows_of
+                    found = [(x[~over[y]], y[~over[y]]) for x, y in found]
+                    held = sum(len(x) for x, _ in found)
+        if not whole and (tight or len(different()) > len(ids)):
+            over = pairs_of > each * rows_of
+            found = [(x[~over[y]], y[~over[y]]) for x, y in found]
+        yield pairs(different())
         have = np.flatnonzero(over[at] & (nearest < far))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[node[have]], ids[partner[have]], nearest[have], sig[at[have]])], names)
 
